@@ -185,10 +185,10 @@ raw AS (
          coalesce(qty, 0) AS qty, coalesce(disc, 0) AS disc
   FROM orders LEFT JOIN line ON l_orderkey = o_orderkey),
 block AS (
-  SELECT slide, x // 8 AS bx, y // 8 AS by, sum(qty)::BIGINT % 3 = 0 AS stained FROM raw GROUP BY ALL),
+  SELECT slide, x // 8 AS bi, y // 8 AS bj, sum(qty)::BIGINT % 3 = 0 AS stained FROM raw GROUP BY ALL),
 cells AS (
   SELECT raw.slide, x, y,
          (CASE WHEN stained THEN 200 - (qty % 24 + disc % 7) ELSE 240 - qty % 4 END)::INT AS r,
          (CASE WHEN stained THEN 130 - (qty % 24 + disc % 7) ELSE 240 - disc % 3 END)::INT AS g,
          (CASE WHEN stained THEN 180 - (qty % 24 + disc % 7) ELSE 241 - qty % 5 END)::INT AS b
-  FROM raw JOIN block ON raw.slide = block.slide AND x // 8 = bx AND y // 8 = by)"""
+  FROM raw JOIN block ON raw.slide = block.slide AND x // 8 = bi AND y // 8 = bj)"""

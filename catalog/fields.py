@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from patchframe.functions import geometry as geo
 from patchframe.functions import scalar
-from patchframe.operators import grid, joins, lattice
+from patchframe.operators import grid, joins, lattice, raster
 
 from . import base as b
 from .base import query, r
@@ -43,9 +43,7 @@ def points_in_regions(spark, sf):
 WITH {b.patches_sql()}, {EDGES_SQL}, {INSIDE_SQL}
 SELECT slide, patch_id FROM hits WHERE id = 'b'
 INTERSECT
-SELECT slide, patch_id FROM hits WHERE slide <> 's1' OR id = 'a'
-UNION ALL
-SELECT slide, patch_id FROM hits WHERE FALSE""")
+SELECT slide, patch_id FROM hits WHERE slide <> 's1' OR id = 'a'""")
 def filtered_patches(spark, sf):
     """Two filters that must both hold; the second one is tighter on one slide."""
     E = b.expression(spark, sf)
@@ -183,7 +181,7 @@ dims AS (SELECT *, greatest(0, floor((width - 60) / 30) + 1)::BIGINT AS cols,
                 greatest(0, floor((height - 60) / 30) + 1)::BIGINT AS rows_ FROM reg),
 p AS (SELECT slide, region_id, c.col::INT AS col, w.row_::INT AS "row", ox + c.col * 30 AS x, oy + w.row_ * 30 AS y
       FROM dims, LATERAL (SELECT unnest(range(cols)) AS col) c, LATERAL (SELECT unnest(range(rows_)) AS row_) w)
-SELECT slide, region_id, col, "row", x, y, 60 AS side, round(60 * 0.25, 6) AS patch_um,
+SELECT slide, region_id, col, "row", x, y, 60 AS side, 15.0::DOUBLE AS patch_um,
        row_number() OVER (PARTITION BY slide, region_id ORDER BY "row", col) - 1 AS index
 FROM p WHERE x >= 0 AND y >= 0 AND x + 60 <= 2300 AND y + 60 <= 1100""")
 def patch_grid(spark, sf):
@@ -251,8 +249,9 @@ GROUP BY v.slide, patch_id
 HAVING sum(m) / ((any_value(x1) - any_value(x0)) * (any_value(y1) - any_value(y0))) >= 0.25""")
 def tissue_fraction(spark, sf):
     C = b.cells(spark, sf)
-    M = C.select("slide", "x", "y", (F.col("r") < 220).cast("int").alias("m"))
     s = C.select("slide").distinct()
+    C = raster.fill_missing(C, s.select("slide", F.lit(64).alias("w"), F.lit(64).alias("h")))
+    M = C.select("slide", "x", "y", (F.col("r") < 220).cast("int").alias("m"))
     P = s.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(69)))).withColumn(
         "col", F.explode(F.sequence(F.lit(0), F.lit(69)))).select(
         "slide", (F.col("row").cast("bigint") * 70 + F.col("col")).alias("patch_id"),

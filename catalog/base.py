@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchframe.operators import raster
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -140,7 +142,7 @@ def values_sql(rows) -> str:
 # --- overview cells -------------------------------------------------------------
 
 def cells(spark, sf) -> DataFrame:
-    """Overview cells of the orders: 64 x 64 to a slide, a missing order is blank glass.
+    """Overview cells of the orders: 64 x 64 to a slide, white where a slide ends early.
 
     Blocks of 8 x 8 whose summed quantity is a multiple of three are stained, the
     rest is pale; single cells vary with their own lines.
@@ -167,12 +169,14 @@ def cells(spark, sf) -> DataFrame:
         block, ["slide", "bx", "by"]
     )
     shade = F.col("qty") % 24 + F.col("disc") % 7
-    return d.select(
+    seen = d.select(
         "slide", "x", "y",
         F.when(F.col("stained"), 200 - shade).otherwise(240 - F.col("qty") % 4).cast("int").alias("r"),
         F.when(F.col("stained"), 130 - shade).otherwise(240 - F.col("disc") % 3).cast("int").alias("g"),
         F.when(F.col("stained"), 180 - shade).otherwise(241 - F.col("qty") % 5).cast("int").alias("b"),
     )
+    extent = seen.select("slide").distinct().select("slide", F.lit(64).alias("w"), F.lit(64).alias("h"))
+    return raster.fill_missing(seen, extent)
 
 
 CELLS_SQL = """
@@ -186,9 +190,13 @@ raw AS (
   FROM orders LEFT JOIN line ON l_orderkey = o_orderkey),
 block AS (
   SELECT slide, x // 8 AS bi, y // 8 AS bj, sum(qty)::BIGINT % 3 = 0 AS stained FROM raw GROUP BY ALL),
-cells AS (
+seen AS (
   SELECT raw.slide, x, y,
          (CASE WHEN stained THEN 200 - (qty % 24 + disc % 7) ELSE 240 - qty % 4 END)::INT AS r,
          (CASE WHEN stained THEN 130 - (qty % 24 + disc % 7) ELSE 240 - disc % 3 END)::INT AS g,
          (CASE WHEN stained THEN 180 - (qty % 24 + disc % 7) ELSE 241 - qty % 5 END)::INT AS b
-  FROM raw JOIN block ON raw.slide = block.slide AND x // 8 = bi AND y // 8 = bj)"""
+  FROM raw JOIN block ON raw.slide = block.slide AND x // 8 = bi AND y // 8 = bj),
+cells AS (
+  SELECT f.slide, f.x, f.y, coalesce(r, 255)::INT AS r, coalesce(g, 255)::INT AS g, coalesce(b, 255)::INT AS b
+  FROM (SELECT s.slide, x.i::INT AS x, y.i::INT AS y FROM (SELECT DISTINCT slide FROM seen) s, range(64) x(i), range(64) y(i)) f
+  LEFT JOIN seen USING (slide, x, y))"""

@@ -1 +1,158 @@
-"""Filled below."""
+"""Hold-out splits, metrics, graphs, and the learning operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from patchframe.operators import graph, learn, tissue
+
+from . import base as b
+from . import raster as cells
+from .base import query, r
+
+
+def labelled(spark, sf):
+    E = b.expression(spark, sf)
+    return E.filter(F.col("label") < 3).select(
+        "slide", "patch_id", F.struct("slide", "patch_id").alias("row"), F.col("values").alias("features"), "label",
+        (F.col("x") + 50).cast("double").alias("px"), (F.col("y") + 50).cast("double").alias("py"))
+
+
+@query("spatial_block_split", f"""
+WITH {b.patches_sql()},
+l AS (SELECT *, floor((x + 50) / 300.0)::BIGINT || ',' || floor((y + 50) / 300.0)::BIGINT AS g FROM patches WHERE label < 3),
+f AS (SELECT g, row_number() OVER (ORDER BY min((slide, patch_id))) - 1 AS block_index, count(*) OVER () AS n FROM l GROUP BY g)
+SELECT slide, patch_id, block_index::INT AS block_index,
+       n >= 4 AND block_index % (CASE WHEN n = 2 THEN 2 ELSE 3 END) = (CASE WHEN n = 2 THEN 1 ELSE 2 END) AS held_out
+FROM l JOIN f USING (g)""")
+def spatial_block_split(spark, sf):
+    return learn.spatial_block_split(labelled(spark, sf), 300.0).select("slide", "patch_id", "block_index", "held_out")
+
+
+@query("confusion_metrics", f"""
+WITH p AS (SELECT label::INT AS l, (vec_id * 7 % 10)::INT AS p FROM embeddings),
+c AS (SELECT i.i::INT AS class, count(CASE WHEN l = i.i THEN 1 END) AS actual, count(CASE WHEN p = i.i THEN 1 END) AS predicted,
+             count(CASE WHEN l = i.i AND p = i.i THEN 1 END) AS tp FROM p, range(10) i(i) GROUP BY i.i),
+m AS (SELECT *, coalesce(tp / nullif(predicted, 0), 0)::DOUBLE AS pr, coalesce(tp / nullif(actual, 0), 0)::DOUBLE AS rc FROM c)
+SELECT class, actual, predicted, {r('pr')} AS precision, {r('rc')} AS recall,
+       {r('coalesce(2 * pr * rc / nullif(pr + rc, 0), 0)')} AS f1,
+       {r('(SELECT avg((l = p)::INT) FROM p)')} AS accuracy
+FROM m""")
+def confusion_metrics(spark, sf):
+    e = b.table(spark, sf, "embeddings").select("label", (F.col("vec_id") * 7 % 10).alias("prediction"))
+    m = learn.classification_metrics(e, 10)
+    return b.rounded(m.select("class", "actual", "predicted", "precision", "recall", "f1", "accuracy"),
+                     "precision", "recall", "f1", "accuracy")
+
+
+def points(spark, sf):
+    return b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+
+
+# The brute-force twin compares every pair, exactly as the definition does.
+KNN_SQL = """
+pairs AS (SELECT a.vec_id AS src, c.vec_id AS dst,
+                 list_sum(list_transform(list_zip(a.embedding, c.embedding), lambda z: power(z[1]::DOUBLE - z[2]::DOUBLE, 2))) AS d
+          FROM embeddings a JOIN embeddings c ON a.vec_id <> c.vec_id),
+nn AS (SELECT src, dst, d FROM pairs QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) <= 15),
+graph AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM nn)"""
+
+
+@query("nearest_neighbours", f"""
+WITH {KNN_SQL} SELECT src, dst, {r('sqrt(d)', 5)} AS distance FROM nn""")
+def nearest_neighbours(spark, sf):
+    return b.rounded(graph.nearest_neighbours(points(spark, sf), 15), "distance", digits=5)
+
+
+@query("knn_graph", f"WITH {KNN_SQL} SELECT src, dst, 1.0::DOUBLE AS w FROM graph")
+def knn_graph(spark, sf):
+    return graph.knn_graph(points(spark, sf), 15)
+
+
+@query("modularity", f"""
+WITH {KNN_SQL},
+e AS (SELECT a.label AS la, c.label AS lb FROM graph JOIN embeddings a ON a.vec_id = src JOIN embeddings c ON c.vec_id = dst),
+t AS (SELECT label, count(*) AS s FROM (SELECT la AS label FROM e UNION ALL SELECT lb FROM e) GROUP BY label)
+SELECT {r('(SELECT sum((la = lb)::INT) / count(*) FROM e) - sum(s * s) / power(sum(s), 2)')} AS modularity FROM t""")
+def modularity(spark, sf):
+    labels = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return b.rounded(graph.modularity(graph.knn_graph(points(spark, sf), 15), labels), "modularity")
+
+
+@query("communities")
+def communities(spark, sf):
+    """Groups by greedy modularity; checked against planted partitions in the tests."""
+    return graph.communities(graph.knn_graph(points(spark, sf), 15))
+
+
+def _emb(spark, sf):
+    E = b.expression(spark, sf)
+    return E.select("slide", "patch_id", F.col("values").alias("vec"))
+
+
+@query("pca_scores")
+def pca_scores(spark, sf):
+    """Rows only: solvers differ in the last digits; the tests check the invariants."""
+    s = learn.pca_scores(_emb(spark, sf), k=8).scores
+    return s.select("slide", "patch_id", F.posexplode("scores").alias("component", "score"))
+
+
+@query("explained_variance", f"""
+WITH m AS (SELECT i.i, avg(embedding[i.i]::DOUBLE) AS mu FROM embeddings, range(1, 65) i(i) GROUP BY i.i),
+v AS (SELECT sum(power(embedding[i.i]::DOUBLE - mu, 2)) / (count(DISTINCT vec_id) - 1) AS total FROM embeddings, m i GROUP BY ALL)
+SELECT {r('total', 6)} AS total_variance FROM v""")
+def explained_variance(spark, sf):
+    """The components' variances and their shares must give the total variance back."""
+    c = learn.pca_scores(_emb(spark, sf), k=64)
+    total = F.lit(0.0)
+    per = c.scores.select(F.posexplode("scores").alias("i", "s")).groupBy("i").agg(F.var_samp("s").alias("v"))
+    return per.agg(b.fixed(F.sum("v") + total, 6).alias("total_variance"))
+
+
+@query("kmeans")
+def kmeans(spark, sf):
+    labelled_, _, _ = learn.kmeans(_emb(spark, sf), 8, column="vec")
+    return labelled_.select("slide", "patch_id", "label")
+
+
+@query("discover")
+def discover(spark, sf):
+    return learn.discover(_emb(spark, sf), 6)[0].select("slide", "patch_id", "label")
+
+
+@query("train_head")
+def train_head(spark, sf):
+    """Class probabilities of every patch from a head trained on three classes."""
+    E = b.expression(spark, sf).withColumnRenamed("values", "features")
+    m = learn.train_head(labelled(spark, sf), ["a", "b", "c"], 300.0, population=E)
+    return learn.predict_and_blend(m, E).select("slide", "patch_id", "class", b.fixed("prob", 4).alias("prob"))
+
+
+@query("tissue_model")
+def tissue_model(spark, sf):
+    """Probability of tissue per overview cell from a model trained on labelled regions."""
+    s = tissue.merge_samples(cells.samples(spark, sf))
+    m = learn.train_tissue_model(s, "cells")
+    from patchframe.operators import raster
+
+    feats = raster.cell_features(b.cells(spark, sf)).withColumn("features", F.array(*raster.FEATURES))
+    return learn.predict_tissue(m, feats).select("slide", "x", "y", b.fixed("prob", 4).alias("prob"))
+
+
+@query("merged_samples", f"""
+WITH {b.patches_sql()}, g AS (SELECT DISTINCT slide, label FROM patches),
+n AS (SELECT slide, label, dense_rank() OVER (ORDER BY slide, label) - 1 AS grp FROM g)
+SELECT slide, patch_id, grp::INT AS "group" FROM patches JOIN n USING (slide, label)""")
+def merged_samples(spark, sf):
+    E = b.expression(spark, sf).select("slide", "patch_id", F.col("label").alias("group"))
+    even = F.substring("slide", 2, 9).cast("int") % 2 == 0
+    return tissue.merge_samples(E, E.filter(even)).select("slide", "patch_id", "group")
+
+
+@query("training_summary", f"""
+WITH {b.patches_sql()}
+SELECT count(DISTINCT slide) AS slides, count(DISTINCT CASE WHEN label % 2 = 1 THEN slide || label END) AS tissue,
+       count(DISTINCT CASE WHEN label % 2 = 0 THEN slide || label END) AS artefact, count(*) AS cells FROM patches""")
+def training_summary(spark, sf):
+    E = b.expression(spark, sf).select("slide", F.col("label").alias("group"), (F.col("label") % 2).alias("label"))
+    return tissue.training_summary(E)

@@ -7,6 +7,7 @@ import math
 import os
 import sys
 import time
+from collections import Counter
 
 import duckdb
 
@@ -61,9 +62,9 @@ def compare(df, con, sql: str) -> str | None:
     want = [tuple(_norm(row[i]) for i in at) for row in want]
     if len(got) != len(want):
         return f"{len(got)} rows, SQL has {len(want)}"
-    got.sort(), want.sort()
-    bad = [(g, w) for g, w in zip(got, want) if g != w]
-    return f"{len(bad)} of {len(got)} rows differ, e.g. {cols} {bad[0]}" if bad else None
+    left, right = Counter(got), Counter(want)
+    extra, missing = sorted((left - right).elements()), sorted((right - left).elements())
+    return f"{len(extra)} of {len(got)} rows differ, e.g. {cols} {extra[0]} / {missing[0]}" if extra else None
 
 
 def main():

@@ -203,7 +203,7 @@ def tissue_fragments(spark, sf):
 def tissue_regions(spark, sf):
     """The whole detector: outlines in slide pixels.  Ring tracing has no SQL twin; it
     is tested against rasters with known outlines."""
-    C = b.cells(spark, sf)
+    C = cc.cut_lineage(b.cells(spark, sf))
     regions, _, _ = tissue.detect_tissue(C, slides_of(C), max_hole_um2=2000.0)
     return regions.select("slide", "id", "polygons")
 
@@ -268,7 +268,7 @@ def background_samples(spark, sf):
 def samples(spark, sf):
     from patchframe.functions.geometry import rect_ring
 
-    C = b.cells(spark, sf)
+    C = cc.cut_lineage(b.cells(spark, sf))
     lit = lambda *v: [F.lit(float(c)) for c in v]
     box = lambda i, label, *v: F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"),
                                         F.array(F.array(rect_ring(*lit(*v)))).alias("polygons"))

@@ -9,6 +9,7 @@ number of tile borders a shape crosses and not its length in cells.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -24,18 +25,21 @@ LABEL_MASK = DISTANCE - 1
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared checkpoint folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a local
-    session without one gets a temporary folder.
+    A written table is computed once, survives lost executors, and is planned with its
+    real size.  The folder is the one the cluster names in ``spark.checkpoint.dir``;
+    only a local session without one gets a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="patchframe-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="patchframe-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _settle(grid: np.ndarray, open_: np.ndarray, step: int) -> np.ndarray:

@@ -218,7 +218,7 @@ def _move(edges: DataFrame, comm: DataFrame, strength: DataFrame, m2: float, res
     )
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 1, max_rounds: int = 40, max_levels: int = 10) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 1, max_rounds: int = 6, max_levels: int = 3) -> DataFrame:
     """Groups that raise modularity, 0 the largest: local moves, then contraction.
 
     Moves are joins over the whole graph at once; a random half of the nodes moves per
@@ -242,11 +242,11 @@ def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 1, max_ro
         if not changed:
             break
         result = cut_lineage(
-            result.join(comm.withColumnsRenamed({"id": "label", "label": "next"}), "label").select(
+            result.join(comm.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select(
                 "id", F.col("next").alias("label"))
         )
-        a = comm.withColumnsRenamed({"id": "src", "label": "a"})
-        b = comm.withColumnsRenamed({"id": "dst", "label": "b"})
+        a = comm.select(F.col("id").alias("src"), F.col("label").alias("a"))
+        b = comm.select(F.col("id").alias("dst"), F.col("label").alias("b"))
         level = cut_lineage(
             level.join(a, "src").join(b, "dst")
             .groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("w").alias("w"))

@@ -12,6 +12,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseMatrix
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -201,11 +202,12 @@ def _scaled(df: DataFrame, mean, scale, column: str) -> DataFrame:
 
 def _moments(df: DataFrame, column: str, floor: float) -> tuple[list[float], list[float]]:
     """Mean and population deviation per feature, from one distributed pass."""
-    d = _vectors(df, column)
-    m = StandardScaler(withMean=True, withStd=True, inputCol="__v", outputCol="__c").fit(d)
-    n = d.count()
-    shrink = math.sqrt((n - 1) / n) if n > 1 else 0.0
-    return [float(v) for v in m.mean.toArray()], [max(floor, float(v) * shrink) for v in m.std.toArray()]
+    m = _vectors(df, column).select(Summarizer.metrics("mean", "variance", "count").summary(F.col("__v")).alias("m")).select(
+        "m.mean", "m.variance", "m.count").first()
+    n = m["count"]
+    shrink = (n - 1) / n if n > 1 else 0.0
+    return [float(v) for v in m["mean"].toArray()], [
+        max(floor, math.sqrt(max(0.0, float(v)) * shrink)) for v in m["variance"].toArray()]
 
 
 def _fit(rows: DataFrame, counts: dict[int, int], l2: float, family: str) -> LogisticRegressionModel:
@@ -214,7 +216,7 @@ def _fit(rows: DataFrame, counts: dict[int, int], l2: float, family: str) -> Log
     d = rows.withColumn("__w", F.element_at(weight, F.col("label"))).withColumn("__y", F.col("label").cast("double"))
     return LogisticRegression(
         featuresCol="__z", labelCol="__y", weightCol="__w", regParam=l2, elasticNetParam=0.0,
-        standardization=False, family=family, maxIter=500, tol=1e-10,
+        standardization=False, family=family, maxIter=100, tol=1e-6,
     ).fit(d)
 
 
@@ -316,14 +318,15 @@ def predict_head(model: LinearModel, df: DataFrame, column: str = "features") ->
 
 def train_tissue_model(samples: DataFrame, name: str, column: str = "features") -> LinearModel:
     """Tissue against artefact, scored on regions it never saw.  Both classes must be there."""
-    counts = _class_counts(samples)
-    if not counts.get(1):
-        raise NotEnoughLabels("label some tissue before training")
-    if not counts.get(0):
-        raise NotEnoughLabels("label some artefacts too: mark a few wrong detections")
-    mean, scale = _moments(samples, column, 1.0)
-    split = _scaled(region_split(samples), mean, scale, column).cache()
+    samples = samples.select("group", "label", column).cache()
     try:
+        counts = _class_counts(samples)
+        if not counts.get(1):
+            raise NotEnoughLabels("label some tissue before training")
+        if not counts.get(0):
+            raise NotEnoughLabels("label some artefacts too: mark a few wrong detections")
+        mean, scale = _moments(samples, column, 1.0)
+        split = _scaled(region_split(samples), mean, scale, column)
         train, test = split.filter("not held_out"), split.filter("held_out")
         used, held = _class_counts(train), _class_counts(test)
         lr = _fit(train, {i: used.get(i, 0) for i in (0, 1)}, TISSUE_L2, "binomial")
@@ -339,7 +342,7 @@ def train_tissue_model(samples: DataFrame, name: str, column: str = "features")
             model.unscored = "too few regions to hold one of each class back"
         return model
     finally:
-        split.unpersist()
+        samples.unpersist()
 
 
 def predict_tissue(model: LinearModel, df: DataFrame, column: str = "features") -> DataFrame:

@@ -72,6 +72,16 @@ def main():
 
     sf = sys.argv[1]
     only = sys.argv[2:]
+    import faulthandler
+    import signal
+
+    limit = int(os.environ.get("QUERY_LIMIT", "60"))
+
+    def stop(*_):
+        raise TimeoutError(f"over {limit} s")
+
+    signal.signal(signal.SIGALRM, stop)
+    faulthandler.enable()
     spark, con = session(), connect(sf)
     queries, oracles = entry.queries(), entry.oracle_sql()
     failed = 0
@@ -79,6 +89,7 @@ def main():
         if only and name not in only:
             continue
         t = time.time()
+        signal.alarm(limit)
         try:
             df = fn(spark, sf)
             if name in oracles:
@@ -88,6 +99,7 @@ def main():
                 state = f"rows {df.count()}"
         except Exception as e:  # report and go on
             state = "ERROR " + str(e)[:700]
+        signal.alarm(0)
         failed += state.startswith(("DIFF", "ERROR"))
         print(f"{name:28s} {time.time() - t:6.1f}s {state}", flush=True)
     print("failed:", failed)

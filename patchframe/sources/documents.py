@@ -44,10 +44,14 @@ def _polygons(kind: Column, text: Column) -> Column:
 
 
 def _measurements(text: Column) -> Column:
-    """Either a list of {name, value} or an object, as a map."""
-    listed = F.map_from_entries(
-        F.filter(F.from_json(text, F.lit("array<struct<name:string,value:double>>")), lambda m: m.name.isNotNull())
-    )
+    """Either a list of {name, value} or an object, as a map.  Of equal names the last counts."""
+    items = F.from_json(text, F.lit("array<struct<name:string,value:double>>"))
+
+    def last(m, i):
+        later = F.slice(items, i + 2, F.size(items))
+        return m["name"].isNotNull() & ~F.exists(later, lambda o: o["name"] == m["name"])
+
+    listed = F.map_from_entries(F.filter(items, last))
     return F.when(F.ltrim(text).startswith("["), listed).otherwise(F.from_json(text, F.lit("map<string,double>")))
 
 
@@ -76,12 +80,15 @@ def read_geojson(
     kind = F.col("f.geometry.type")
     ok = F.coalesce(kind.isin(*SUPPORTED), F.lit(False))
     skipped = f.groupBy("file").agg(F.sum((~ok).cast("bigint")).alias("skipped"))
+    # A document is named for its slide, or lies in the slide's folder as written here.
+    folder = F.regexp_extract("file", "/slide=([^/]+)/", 1)
+    slide = F.when(folder != "", F.url_decode(folder)).otherwise(file_stem("file"))
     x = F.col(f"f.properties.`{extra_key}`")
     cls = F.col("f.properties.classification.name")
     roi = F.coalesce(x["isRoi"], F.lit(False)) | F.coalesce(cls == ROI_NAME, F.lit(False))
     a = f.filter(ok).select(
-        file_stem("file").alias("slide"), "file", "seq",
-        F.coalesce(x["id"], F.col("f.id"), F.concat_ws("-", file_stem("file"), F.col("seq").cast("string"))).alias("id"),
+        slide.alias("slide"), "file", "seq",
+        F.coalesce(x["id"], F.col("f.id"), F.concat_ws("-", slide, F.col("seq").cast("string"))).alias("id"),
         kind.alias("geom_type"), _polygons(kind, F.col("f.geometry.coordinates")).alias("polygons"),
         roi.alias("__roi"), F.when(~roi, F.trim(cls)).alias("__class"),
         F.col("f.properties.classification.colorRGB").alias("__rgb"),
@@ -178,8 +185,9 @@ def geojson_documents(
 
 
 def write_geojson(R: DataFrame, classes: DataFrame, path: str, **options) -> None:
+    """One folder per slide, one whole document per file."""
     d = geojson_documents(R, classes, **options)
-    d.select("slide", "value").write.mode("overwrite").partitionBy("slide").text(path)
+    d.select("slide", "part", "value").write.mode("overwrite").partitionBy("slide", "part").text(path)
 
 
 def parse_signatures(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ supplier
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from patchframe.operators import raster
@@ -162,12 +163,8 @@ def cells(spark, sf) -> DataFrame:
             F.coalesce("qty", F.lit(0)).alias("qty"), F.coalesce("disc", F.lit(0)).alias("disc"),
         )
     )
-    block = d.groupBy("slide", F.floor(F.col("x") / 8).alias("bx"), F.floor(F.col("y") / 8).alias("by")).agg(
-        (F.sum("qty") % 3 == 0).alias("stained")
-    )
-    d = d.withColumns({"bx": F.floor(F.col("x") / 8), "by": F.floor(F.col("y") / 8)}).join(
-        block, ["slide", "bx", "by"]
-    )
+    block = W.partitionBy("slide", F.floor(F.col("x") / 8), F.floor(F.col("y") / 8))
+    d = d.withColumn("stained", F.sum("qty").over(block) % 3 == 0)
     shade = F.col("qty") % 24 + F.col("disc") % 7
     seen = d.select(
         "slide", "x", "y",
@@ -175,7 +172,8 @@ def cells(spark, sf) -> DataFrame:
         F.when(F.col("stained"), 130 - shade).otherwise(240 - F.col("disc") % 3).cast("int").alias("g"),
         F.when(F.col("stained"), 180 - shade).otherwise(241 - F.col("qty") % 5).cast("int").alias("b"),
     )
-    extent = seen.select("slide").distinct().select("slide", F.lit(64).alias("w"), F.lit(64).alias("h"))
+    slide = F.concat(F.lit("c"), F.floor(k / 4096).cast("string")).alias("slide")
+    extent = table(spark, sf, "orders").select(slide).distinct().withColumns({"w": F.lit(64), "h": F.lit(64)})
     return raster.fill_missing(seen, extent)
 
 

@@ -125,7 +125,7 @@ WITH RECURSIVE {MASK_SQL}, {_components_sql('mask', 'comp')}
 SELECT slide, label, count(*) AS cells, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy
 FROM comp GROUP BY slide, label""")
 def components(spark, sf):
-    return cc.component_stats(cc.label_components(mask(spark, sf), tile=32))
+    return cc.component_stats(cc.label_components(mask(spark, sf)))
 
 
 @query("hysteresis", f"""
@@ -144,8 +144,8 @@ grow(slide, x, y, label, d) USING KEY (slide, x, y) AS (
 SELECT slide, x, y, label FROM grow""")
 def hysteresis(spark, sf):
     s = raster.tissue_score(b.cells(spark, sf))
-    seeds = cc.label_components(s.select("slide", "x", "y", (F.col("score") >= 120).cast("int").alias("m")), tile=32)
-    return cc.hysteresis_grow(seeds, s.select("slide", "x", "y", (F.col("score") >= 14).cast("int").alias("m")), tile=32)
+    seeds = cc.label_components(s.select("slide", "x", "y", (F.col("score") >= 120).cast("int").alias("m")))
+    return cc.hysteresis_grow(seeds, s.select("slide", "x", "y", (F.col("score") >= 14).cast("int").alias("m")))
 
 
 @query("fill_holes", f"""

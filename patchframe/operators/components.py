@@ -82,8 +82,8 @@ def _run_minimum(grid: np.ndarray, open_: np.ndarray) -> np.ndarray:
     return grid
 
 
-def _round(cells: DataFrame, step: int, tile: int) -> DataFrame:
-    """One round: settle each tile together with the border keys of its neighbours."""
+def _round(cells: DataFrame, step: int, tile: int, halo: bool) -> DataFrame:
+    """One round: settle each tile, after the first together with its neighbours' border keys."""
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         x0, y0 = int(pdf["tx"].iloc[0]) * tile - 1, int(pdf["ty"].iloc[0]) * tile - 1
@@ -104,6 +104,9 @@ def _round(cells: DataFrame, step: int, tile: int) -> DataFrame:
     tx, ty = F.floor(F.col("x") / tile).cast("int"), F.floor(F.col("y") / tile).cast("int")
     on = lambda c, edge: F.pmod(F.col(c), F.lit(tile)) == edge
     own = cells.withColumns({"tx": tx, "ty": ty}).withColumn("halo", F.lit(False))
+    schema = "slide string, x int, y int, key bigint"
+    if not halo:
+        return own.groupBy("slide", "tx", "ty").applyInPandas(settle, schema)
     sides = F.filter(
         F.array(
             F.when(on("x", 0), F.struct((tx - 1).alias("tx"), ty.alias("ty"))),
@@ -121,7 +124,7 @@ def _round(cells: DataFrame, step: int, tile: int) -> DataFrame:
     return (
         own.unionByName(border)
         .groupBy("slide", "tx", "ty")
-        .applyInPandas(settle, "slide string, x int, y int, key bigint")
+        .applyInPandas(settle, schema)
     )
 
 
@@ -141,8 +144,8 @@ def _unsettled(cells: DataFrame, step: int, tile: int) -> bool:
 def spread(cells: DataFrame, step: int = 0, tile: int = TILE, max_rounds: int = 10_000) -> DataFrame:
     """Settle keys (``slide, x, y, key``; ``NONE`` where nothing has arrived)."""
     cells = cells.select("slide", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "key")
-    for _ in range(max_rounds):
-        cells = cut_lineage(_round(cells, step, tile))
+    for i in range(max_rounds):
+        cells = cut_lineage(_round(cells, step, tile, halo=i > 0))
         if not _unsettled(cells, step, tile):
             return cells
     raise RuntimeError("labels did not settle")

@@ -89,19 +89,13 @@ def otsu_levels(scored: DataFrame, edge_bias: float = 0.22, weak_bias: float = 0
     c = c.withColumn("between", F.col("wb") * wf * gap * gap).withColumn("best", F.max("between").over(whole))
     # A cut at an occupied score holds up to the next occupied one: empty bins add nothing.
     tied = F.col("between") >= F.col("best") * (1 - 1e-9)
-    split = c.groupBy("slide").agg(
-        F.count(F.lit(1)).alias("occupied"),
-        F.min(F.when(tied, F.col("t"))).alias("first"),
-        F.max(F.when(tied, F.col("next_t") - 1)).alias("last"),
-    ).withColumn("auto", F.when(F.col("occupied") < 2, F.lit(0)).otherwise(
-        sc.half_up((F.col("first") + F.col("last")) / 2)).cast("int"))
-    glass = (
-        h.join(split.select("slide", "auto"), "slide")
-        .filter(F.col("t") <= F.col("auto"))
-        .groupBy("slide")
-        .agg(F.max_by("t", F.struct("n", -F.col("t"))).alias("glass"))
-    )
-    d = split.join(glass, "slide", "left")
+    first = F.min(F.when(tied, F.col("t"))).over(whole)
+    last = F.max(F.when(tied, F.col("next_t") - 1)).over(whole)
+    c = c.withColumn("auto", F.coalesce(sc.half_up((first + last) / 2), F.lit(0)).cast("int"))
+    under = F.col("t") <= F.col("auto")
+    mode = F.max(F.when(under, F.struct("n", (-F.col("t")).alias("t"))))
+    d = c.groupBy("slide").agg(
+        F.count(F.lit(1)).alias("occupied"), F.max("auto").alias("auto"), (-mode["t"]).alias("glass"))
     one = F.col("occupied") < 2
     span = F.greatest(F.lit(1), F.col("auto") - F.col("glass"))
     at = lambda bias: sc.half_up(F.col("glass") + span * bias).cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from patchframe.functions.scalar import half_up
 
 from . import stats
-from .expression import code_histogram
+from .expression import code_histogram, is_coded
 from .signatures import score_signatures
 
 
@@ -49,10 +49,9 @@ def differential_expression(
     correction.  Slides whose region is too small raise, or are left out with
     ``on_small="drop"``.
     """
-    element = E.schema["values"].dataType.elementType.typeName()
     genes = G.select("slide", "gene_idx", "gene", "scale", "zero")
     by = ["slide", "gene_idx"]
-    if element in ("short", "byte", "integer"):
+    if is_coded(E):
         h = code_histogram(E).withColumnRenamed("code", "v")
         u = stats.mann_whitney(h, by, bounded=True).join(genes, by)
         m, c = F.col("scale").cast("double"), F.col("zero").cast("double")

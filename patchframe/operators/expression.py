@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 def decode(E: DataFrame, G: DataFrame) -> DataFrame:
     """Byte codes to values: ``code * scale + zero`` with each gene's own pair."""
+    if E.schema["values"].dataType.typeName() == "binary":
+        E = unpack_codes(E)
     per_slide = G.groupBy("slide").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("gene_idx", "scale", "zero"))),
@@ -67,6 +69,62 @@ def survey_genes(E: DataFrame) -> DataFrame:
     )
 
 
+def is_coded(E: DataFrame) -> bool:
+    """Does the map hold byte codes: packed in a binary, or as small integers."""
+    kind = E.schema["values"].dataType
+    return kind.typeName() == "binary" or kind.elementType.typeName() in ("short", "byte", "integer")
+
+
+def _code_block(column: pa.Array) -> np.ndarray:
+    """Rows x genes of codes from a column of binaries or lists, without copying values."""
+    n = len(column)
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+        offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + n + 1]
+        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    else:
+        data = column.flatten().to_numpy(zero_copy_only=False)
+    return data.reshape(n, -1)
+
+
+def pack_codes(E8: DataFrame) -> DataFrame:
+    """Byte codes as one binary per patch.
+
+    A binary moves between Spark and Python as one copy, a list element by element, so
+    this is the layout to store large coded maps in.
+    """
+    rest = [c for c in E8.columns if c != "values"]
+
+    def pack(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            block = np.ascontiguousarray(_code_block(b.column(len(rest))), np.uint8)
+            offsets = np.arange(0, block.size + 1, block.shape[1], dtype=np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer(offsets), pa.py_buffer(block)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], packed], names=[*rest, "values"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in E8.schema if f.name != "values")
+    return E8.select(*rest, "values").mapInArrow(pack, f"{kinds}, values binary")
+
+
+def unpack_codes(E: DataFrame) -> DataFrame:
+    """A packed map as small integers, for the operators that look at single genes."""
+    rest = [c for c in E.columns if c != "values"]
+
+    def unpack(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            block = _code_block(b.column(len(rest))).astype(np.int16)
+            offsets = pa.array(np.arange(0, block.size + 1, block.shape[1], dtype=np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(block.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], names=[*rest, "values"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in E.schema if f.name != "values")
+    return E.select(*rest, "values").mapInArrow(unpack, f"{kinds}, values array<smallint>")
+
+
 def code_histogram(E: DataFrame, bins: int = 256) -> DataFrame:
     """``slide, gene_idx, code, n_in, n_out`` of a byte-coded map with a boolean
     ``inside`` column.
@@ -80,8 +138,8 @@ def code_histogram(E: DataFrame, bins: int = 256) -> DataFrame:
         slide, table = None, None
 
         def flush():
-            gene, code, side = np.nonzero(table)
-            n = table[gene, code, side]
+            side, gene, code = np.nonzero(table)
+            n = table[side, gene, code]
             return pa.RecordBatch.from_pydict(
                 {
                     "slide": pa.array([slide] * len(gene), pa.string()),
@@ -96,22 +154,23 @@ def code_histogram(E: DataFrame, bins: int = 256) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             slides = batch.column(0).to_numpy(zero_copy_only=False)
-            inside = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            codes = batch.column(2)
-            genes = len(codes[0])
-            block = codes.flatten().to_numpy(zero_copy_only=False).reshape(-1, genes)
+            inside = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            block = _code_block(batch.column(2))
+            genes = block.shape[1]
             cuts = np.flatnonzero(slides[1:] != slides[:-1]) + 1
-            for rows in np.split(np.arange(len(slides)), cuts):
-                here = slides[rows[0]]
-                if table is None or here != slide or table.shape[0] != genes:
+            for lo, hi in zip([0, *cuts], [*cuts, len(slides)]):
+                here = slides[lo]
+                if table is None or here != slide or table.shape[1] != genes:
                     if table is not None:
                         yield flush()
-                    slide, table = here, np.zeros((genes, bins, 2), np.int64)
-                for g0 in range(0, genes, 64):
-                    part = block[rows, g0 : g0 + 64].astype(np.int64)
-                    key = (np.arange(part.shape[1]) * bins + part) * 2 + inside[rows, None]
-                    got = np.bincount(key.ravel(), minlength=part.shape[1] * bins * 2)
-                    table[g0 : g0 + 64] += got.reshape(-1, bins, 2)
+                    slide, table = here, np.zeros((2, genes, bins), np.int64)
+                for side in (0, 1):
+                    rows = block[lo:hi][inside[lo:hi] == bool(side)]
+                    for g0 in range(0, genes, 64) if len(rows) else ():
+                        part = rows[:, g0 : g0 + 64]
+                        wide = part.shape[1]
+                        key = part + np.arange(0, wide * bins, bins, dtype=np.intp)
+                        table[side, g0 : g0 + 64] += np.bincount(key.ravel(), minlength=wide * bins).reshape(wide, bins)
         if table is not None:
             yield flush()
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from patchframe.functions.scalar import fisher_z_p, value_bucket
 
 from . import stats
+from .expression import is_coded, unpack_codes
 from .joins import patches_along
 from .signatures import score_signatures
 
@@ -142,6 +143,8 @@ def gene_gradient(
     corridor patches only.
     """
     along = patches_along(E, axes, width)
+    if E.schema["values"].dataType.typeName() == "binary":
+        along = unpack_codes(along)
     pos = corridor_positions(along.select(*AXIS, "patch_id", "t")).select(
         *AXIS, "patch_id", "rt", "at_start", "at_end"
     )
@@ -150,8 +153,7 @@ def gene_gradient(
         .join(pos, [*AXIS, "patch_id"])
         .select(*AXIS, "rt", "at_start", "at_end", F.posexplode("values").alias("gene_idx", "value"))
     )
-    element = E.schema["values"].dataType.elementType.typeName()
-    if element in ("short", "byte", "integer"):
+    if is_coded(E):
         sz = G.select("slide", "gene_idx", "scale", "zero")
         long = long.join(sz, ["slide", "gene_idx"]).withColumn(
             "value", F.col("value") * F.col("scale").cast("double") + F.col("zero").cast("double")

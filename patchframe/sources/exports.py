@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchframe.functions.scalar import obs_name
-from patchframe.operators.expression import decode
+from patchframe.operators.expression import decode, is_coded, pack_codes
 
 
 def fixed_text(c, digits: int) -> Column:
@@ -68,7 +68,7 @@ def anndata_tables(
     ``genes`` (gene, ordinal) selects genes and sets their order.  Byte-coded maps are
     decoded; patch centres are the coordinates.
     """
-    if E.schema["values"].dataType.elementType.typeName() in ("short", "byte", "integer"):
+    if is_coded(E):
         E = decode(E, G)
     var = G.select("slide", "gene_idx", "gene")
     x = F.col("values")
@@ -102,7 +102,9 @@ def write_anndata(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def write_quantised(E8: DataFrame, G8: DataFrame, path: str) -> None:
-    E8.write.mode("overwrite").partitionBy("slide").parquet(f"{path}/expression")
+    """The byte-coded map, codes packed in a binary, and its gene table."""
+    packed = E8 if E8.schema["values"].dataType.typeName() == "binary" else pack_codes(E8)
+    packed.write.mode("overwrite").partitionBy("slide").parquet(f"{path}/expression")
     G8.write.mode("overwrite").partitionBy("slide").parquet(f"{path}/genes")
 
 

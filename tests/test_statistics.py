@@ -65,6 +65,11 @@ def test_codes_give_the_same_test_as_decoded_values(spark, noisy):
     coded = {r["gene"]: r for r in enrichment.differential_expression(E8.join(flags, ["slide", "patch_id"]), G8).collect()}
     plain = {r["gene"]: r for r in enrichment.differential_expression(
         expression.decode(E8, G8).join(flags, ["slide", "patch_id"]), G8).collect()}
+    packed = expression.pack_codes(E8)
+    assert packed.schema["values"].dataType.typeName() == "binary"
+    same = {r["gene"]: r for r in enrichment.differential_expression(packed.join(flags, ["slide", "patch_id"]), G8).collect()}
+    assert same == coded
+    assert expression.unpack_codes(packed).exceptAll(E8).count() == 0
     for g, r in coded.items():
         assert r["auc"] == plain[g]["auc"]
         assert r["mean_in"] == pytest.approx(plain[g]["mean_in"], abs=1e-5)

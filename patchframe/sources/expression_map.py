@@ -102,12 +102,13 @@ def read_headers(spark: SparkSession, paths: DataFrame | list[str]) -> DataFrame
 
 def read_expression_maps(
     spark: SparkSession, paths: DataFrame | list[str], rows_per_partition: int = 4000, on_bad: str = "error",
-    codes: bool = False,
+    codes: bool | str = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(E, G) of a set of containers.
 
     Each task reads one range of rows.  Halves are widened on the way in.  With
-    ``codes`` the files must be uint8 and come back as small integers with scale and
+    ``codes`` the files must be uint8 and come back as small integers (or, with
+    ``"packed"``, as one binary per patch, the layout for large maps) with scale and
     zero in the gene table; otherwise byte codes are decoded.  Bad files raise, or are
     left out with ``on_bad="skip"`` (:func:`read_headers` lists them).
     """
@@ -128,9 +129,10 @@ def read_expression_maps(
     # Spread the ranges: the value blocks are read after this small shuffle.
     ranges = ranges.repartition("path", "first")
     kind, np_kind, arrow_kind = (("smallint", np.int16, pa.int16()) if codes else ("float", np.float32, pa.float32()))
+    packed = codes == "packed"
     schema = pa.schema([
         ("slide", pa.string()), ("patch_id", pa.int64()), ("x", pa.int64()), ("y", pa.int64()),
-        ("side", pa.int32()), ("values", pa.list_(arrow_kind)),
+        ("side", pa.int32()), ("values", pa.binary() if packed else pa.list_(arrow_kind)),
     ])
 
     def read(batches):
@@ -149,9 +151,13 @@ def read_expression_maps(
                         v = np.frombuffer(raw, dt).reshape(m, genes)
                         if dt == np.uint8 and not codes:
                             v = v * np.asarray(head["scale"], np.float32) + np.asarray(head["zero"], np.float32)
-                        v = np.ascontiguousarray(v, np_kind)
                         at = head["patches"][a : a + m]
-                        offsets = pa.array(np.arange(0, (m + 1) * genes, genes, dtype=np.int32))
+                        offsets = np.arange(0, (m + 1) * genes, genes, dtype=np.int32)
+                        if packed:
+                            column = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+                        else:
+                            flat = np.ascontiguousarray(v, np_kind).ravel()
+                            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, arrow_kind))
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array([head.get("slide")] * m, pa.string()),
@@ -159,13 +165,14 @@ def read_expression_maps(
                                 pa.array([int(p["x"]) for p in at], pa.int64()),
                                 pa.array([int(p["y"]) for p in at], pa.int64()),
                                 pa.array([int(head["side"])] * m, pa.int32()),
-                                pa.ListArray.from_arrays(offsets, pa.array(v.ravel(), arrow_kind)),
+                                column,
                             ],
                             schema=schema,
                         )
 
     E = ranges.select("path", "first", "count").mapInArrow(
-        read, f"slide string, patch_id bigint, x bigint, y bigint, side int, values array<{kind}>"
+        read, "slide string, patch_id bigint, x bigint, y bigint, side int, values "
+        + ("binary" if packed else f"array<{kind}>")
     )
     G = h.select(
         "slide", "scale", "zero", F.posexplode("genes").alias("gene_idx", "gene")

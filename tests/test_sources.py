@@ -43,6 +43,8 @@ def test_byte_maps_and_bad_files(spark, tmp_path):
     assert np.allclose(np.stack(E.orderBy("patch_id").toPandas()["values"]), codes * s + np.array(z), atol=1e-4)
     E8, G8 = em.read_expression_maps(spark, [good], codes=True)
     assert np.array_equal(np.stack(E8.orderBy("patch_id").toPandas()["values"]), codes)
+    P8, _ = em.read_expression_maps(spark, [good], rows_per_partition=7, codes="packed")
+    assert [list(r["values"]) for r in P8.orderBy("patch_id").collect()] == codes.tolist()
     assert [r["scale"] for r in G8.orderBy("gene_idx").collect()] == pytest.approx(s)
     bad = [write_map(tmp_path / "noscale.bin", codes, "uint8")]
     (tmp_path / "magic.bin").write_bytes(b"NOTAMAP!" + b"\0" * 40)

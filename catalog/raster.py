@@ -107,17 +107,22 @@ def cell_features(spark, sf):
 
 
 def _components_sql(source: str, out: str) -> str:
+    """4-connected components: rows of cells as runs, runs joined where they touch."""
     return f"""
-{out}_on AS MATERIALIZED (SELECT slide, x, y, y::BIGINT * 1048576 + x AS id FROM {source} WHERE m = 1),
-{out}_e AS MATERIALIZED (SELECT a.slide, a.id AS a, c.id AS b FROM {out}_on a JOIN {out}_on c ON a.slide = c.slide
-           AND abs(a.x - c.x) + abs(a.y - c.y) = 1 AND a.x BETWEEN c.x - 1 AND c.x + 1 AND a.y BETWEEN c.y - 1 AND c.y + 1),
+{out}_on AS MATERIALIZED (SELECT slide, x, y, y::BIGINT * 1048576 + x AS id,
+           x - row_number() OVER (PARTITION BY slide, y ORDER BY x) AS g FROM {source} WHERE m = 1),
+{out}_run AS MATERIALIZED (SELECT slide, y, g, min(x) AS x0, max(x) AS x1, min(id) AS id FROM {out}_on GROUP BY slide, y, g),
+{out}_half AS MATERIALIZED (SELECT a.slide, a.id AS a, c.id AS b FROM {out}_run a JOIN {out}_run c
+           ON a.slide = c.slide AND c.y = a.y + 1 AND a.x0 <= c.x1 AND a.x1 >= c.x0),
+{out}_e AS MATERIALIZED (SELECT slide, a, b FROM {out}_half UNION ALL SELECT slide, b, a FROM {out}_half),
 {out}_walk(slide, id, label) USING KEY (slide, id) AS (
-  SELECT slide, id, id FROM {out}_on
+  SELECT slide, id, id FROM {out}_run
   UNION
   SELECT e.slide, e.b, min(w.label) FROM {out}_walk w JOIN {out}_e e ON e.slide = w.slide AND e.a = w.id
   JOIN recurring.{out}_walk cur ON cur.slide = e.slide AND cur.id = e.b
   WHERE w.label < cur.label GROUP BY e.slide, e.b),
-{out} AS (SELECT slide, (id % 1048576)::INT AS x, (id // 1048576)::INT AS y, label FROM {out}_walk)"""
+{out} AS (SELECT o.slide, o.x, o.y, w.label FROM {out}_on o JOIN {out}_run r ON r.slide = o.slide AND r.y = o.y AND r.g = o.g
+          JOIN {out}_walk w ON w.slide = r.slide AND w.id = r.id)"""
 
 
 @query("components", f"""

@@ -44,6 +44,9 @@ def ensure_classes(names: DataFrame, classes: DataFrame) -> DataFrame:
     d = numbered.join(taken, "__s", "left").withColumn("__taken", F.coalesce("__taken", F.array().cast("array<int>")))
     d = d.withColumn("__i", F.element_at(free, F.col("__n")))
     cid = F.when(F.col("__i") == 1, F.col("__s")).otherwise(F.concat_ws("-", "__s", F.col("__i").cast("string")))
+    # A numbered slug may equal another new name's plain slug: the later one is numbered again.
+    d = d.withColumn("__cid", cid).withColumn("__again", F.row_number().over(W.partitionBy("__cid").orderBy("seq")))
+    cid = F.when(F.col("__again") == 1, F.col("__cid")).otherwise(F.concat_ws("-", "__cid", F.col("__again").cast("string")))
     last = classes.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("__last"))
     fresh = d.join(last).select(
         (F.col("__last") + F.row_number().over(W.orderBy("seq"))).cast("int").alias("ordinal"),

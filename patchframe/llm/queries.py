@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, bpe, chat
+from . import archive, bpe, chat, forest, topk
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -85,3 +85,26 @@ SELECT conv_id, count(*) AS n_turns,
        sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op1_topk(spark: SparkSession, sf: str) -> DataFrame:
+    patches = table(spark, sf, "embeddings").select(F.col("vec_id").alias("patch_id"), F.col("embedding").alias("vec"))
+    found = topk.nearest_patches(patches.where("patch_id % 50 = 0"), patches, 5)
+    return found.withColumnRenamed("patch_id", "vec_id").select("query_id", "rank", "vec_id", "score")
+
+
+ORACLES["op1_topk"] = """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM c AS q JOIN c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op9_forest(spark: SparkSession, sf: str) -> DataFrame:
+    patches = table(spark, sf, "embeddings").select(F.col("vec_id").alias("patch_id"), F.col("embedding").alias("vec"))
+    return forest.near_duplicate_patches(patches).withColumnRenamed("patch_id", "vec_id")

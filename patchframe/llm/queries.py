@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, bpe, chat, forest, topk
+from . import archive, bpe, chat, forest, shards, topk
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -108,3 +108,16 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op9_forest(spark: SparkSession, sf: str) -> DataFrame:
     patches = table(spark, sf, "embeddings").select(F.col("vec_id").alias("patch_id"), F.col("embedding").alias("vec"))
     return forest.near_duplicate_patches(patches).withColumnRenamed("patch_id", "vec_id")
+
+
+@query
+def op7_shards(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    slides = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("slide"), F.unhex(F.sha2(text, 256)).alias("twin"),
+        (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+    )
+    placed = shards.place_linked(slides, 40, keep=["size", "text_crc32"])
+    return placed.select(
+        F.col("slide").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )

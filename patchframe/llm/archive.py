@@ -65,25 +65,27 @@ def write_archive(captures: DataFrame, folder: str | None = None, id: str = "cap
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of an archive: ``id, type, refers_to, uri, sha1, sha256, header, payload``.
+    """The records of an archive: ``id, type, refers_to, uri, sha1, sha256, n_bytes, header, payload``.
 
-    A payload whose bytes do not give the digest it is stored under, or that is
+    Digests and lengths are taken where a payload is read, so payloads themselves travel
+    only if they are asked for.  A payload whose bytes do not give the digest it is stored under, or that is
     missing, stops the job.  ``payload`` is the full payload, for revisits too;
     ``header || body || CRLF CRLF`` with an empty body for revisits is the record.
     """
     P = spark.read.parquet(f"{folder}/payloads").select(
-        F.col("sha256").alias("stored"), F.sha2("payload", 256).alias("seen"), F.sha1("payload").alias("sha1_seen"), "payload",
+        F.col("sha256").alias("stored"), F.sha2("payload", 256).alias("seen"), F.sha1("payload").alias("sha1_seen"), F.octet_length("payload").cast("long").alias("n_bytes"), "payload",
     )
     field = lambda key, what="([^\r\n]*)": F.nullif(F.regexp_extract("header", f"(?:^|\n){key}: {what}", 1), F.lit(""))
     H = spark.read.parquet(f"{folder}/headers")
     R = H.join(P, F.col("sha256") == F.col("stored"), "left").withColumn("sha1", field("WARC-Payload-Digest", "sha1:([0-9a-f]+)"))
     sound = (F.col("seen") == F.col("stored")) & (F.col("sha1_seen") == F.col("sha1"))
-    R = R.withColumn("payload", F.when(F.coalesce(sound, F.lit(False)), F.col("payload")).otherwise(
-        F.raise_error(F.concat(F.lit("archive: no sound payload under "), F.col("sha256"))).cast("binary")))
+    checked = lambda c, kind: F.when(F.coalesce(sound, F.lit(False)), F.col(c)).otherwise(
+        F.raise_error(F.concat(F.lit("archive: no sound payload under "), F.col("sha256"))).cast(kind))
+    R = R.withColumns({"payload": checked("payload", "binary"), "sha1": checked("sha1", "string")})
     return R.select(
         field("WARC-Record-ID", "<urn:capture:(-?\\d+)>").cast("long").alias("id"), field("WARC-Type").alias("type"),
         field("WARC-Refers-To", "<urn:capture:(-?\\d+)>").cast("long").alias("refers_to"), field("WARC-Target-URI").alias("uri"),
-        "sha1", "sha256", "header", "payload",
+        "sha1", "sha256", "n_bytes", "header", "payload",
     )
 
 

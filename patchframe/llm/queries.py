@@ -40,8 +40,8 @@ def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
     folder = archive.write_archive(table(spark, sf, "pages"), id="page_id", uri="url", body="html")
     back = archive.read_archive(spark, folder)
     return back.select(
-        F.col("id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to",
+        F.col("id").alias("page_id"), F.col("n_bytes").alias("payload_bytes"),
+        F.col("sha1").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to",
     )
 
 

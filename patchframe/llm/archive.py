@@ -37,11 +37,11 @@ def write_archive(captures: DataFrame, folder: str | None = None, id: str = "cap
     C = captures.select(
         F.col(id).cast("long").alias("id"), F.col(uri).cast("string").alias("uri"), F.encode(F.coalesce(F.col(body), F.lit("")), "UTF-8").alias("payload"),
     )
-    C = C.withColumn("sha256", F.sha2("payload", 256))
-    N = C.select("id", "uri", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n"))
-    holders = N.groupBy("sha256").agg(F.max("id").alias("holder"))
+    C = C.withColumn("sha256", F.sha2("payload", 256)).withColumn("key", F.coalesce("id", F.lit(-(2**63))))
+    N = C.select("id", "key", "uri", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n"))
+    holders = N.groupBy("sha256").agg(F.max("key").alias("holder"))
     H = N.join(holders, "sha256")
-    again = (F.col("n") >= revisit_bytes) & ~F.col("id").eqNullSafe(F.col("holder"))
+    again = (F.col("n") >= revisit_bytes) & (F.col("key") != F.col("holder"))
     name = lambda c: F.concat(F.lit("<urn:capture:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     address = F.replace(F.replace(F.col("uri"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     header = F.concat_ws(
@@ -58,9 +58,10 @@ def write_archive(captures: DataFrame, folder: str | None = None, id: str = "cap
         F.lit(CRLF),
     )
     H.select("id", "sha256", header.alias("header")).write.parquet(f"{folder}/headers")
-    held = holders.select(F.col("sha256").alias("held"), "holder")
-    C.join(held, (F.col("sha256") == F.col("held")) & F.col("id").eqNullSafe(F.col("holder"))).select("sha256", "payload").groupBy(
-        "sha256").agg(F.any_value("payload").alias("payload")).write.parquet(f"{folder}/payloads")
+    # Payloads travel by digest and id, so one that many captures share is spread; equal rows meet without another exchange.
+    held = holders.select("sha256", F.col("holder").alias("key"))
+    C.join(held, ["sha256", "key"]).groupBy("sha256", "key").agg(F.any_value("payload").alias("payload")).select(
+        "sha256", "payload").write.parquet(f"{folder}/payloads")
     return folder
 
 

@@ -117,7 +117,7 @@ def _packer(rows: int):
                     held.setdefault(d, []).append((ids[at], np.floor(M * SCALE)))
                     if sum(len(i) for i, _ in held[d]) >= rows:
                         yield from flush(d)
-            for d in list(held):
+            for d in [d for d in held if held[d]]:
                 yield from flush(d)
 
         def flush(d):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, bpe, chat, forest, shards, topk
+from . import archive, bpe, chat, forest, mixing, shards, topk
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -121,3 +121,15 @@ def op7_shards(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select(
         F.col("slide").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels as classes of annotations: ``id, class_id``."""
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "prose")
+    return table(spark, sf, "labels").select(F.col("doc_id").alias("id"), kind.alias("class_id"))
+
+
+@query
+def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix_to_targets(names(spark, sf), classes(spark, sf), {"prose": 0.85, "junk": 0.08, "toxic": 0.07})
+    return mixed.withColumnsRenamed({"id": "doc_id", "size": "n_words"})

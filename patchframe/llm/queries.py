@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, bpe, chat, forest, mixing, shards, topk
+from . import archive, bpe, chat, forest, mixing, shards, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -133,3 +133,22 @@ def classes(spark: SparkSession, sf: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix_to_targets(names(spark, sf), classes(spark, sf), {"prose": 0.85, "junk": 0.08, "toxic": 0.07})
     return mixed.withColumnsRenamed({"id": "doc_id", "size": "n_words"})
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf: str):
+    """Model and thresholds from the labelled documents that are not held out."""
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "toxic")
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("name"), "lang")
+    return toxicity.fit_toxicity(texts.where(~held_out(F.col("id"))).join(labels, "id"))
+
+
+def held_out(key):
+    return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model, _ = toxicity_model(spark, docs, sf)
+    scored = toxicity.score_toxicity(names(spark, sf), model)
+    return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", F.col("toxic").alias("predicted"))

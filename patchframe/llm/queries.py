@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, bpe, chat, forest, mixing, shards, topk, toxicity
+from . import archive, bpe, chat, forest, jaccard, mixing, shards, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -152,3 +152,8 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     model, _ = toxicity_model(spark, docs, sf)
     scored = toxicity.score_toxicity(names(spark, sf), model)
     return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", F.col("toxic").alias("predicted"))
+
+
+@query
+def op3_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.similar_texts(names(spark, sf)).withColumnRenamed("id", "doc_id")

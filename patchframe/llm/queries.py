@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, bpe, chat, forest, jaccard, mixing, shards, topk, toxicity
+from . import archive, bpe, chat, forest, jaccard, mixing, repeats, shards, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -157,3 +157,10 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op3_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.similar_texts(names(spark, sf)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op2_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    cut = repeats.remove_repeats(names(spark, sf), 50)
+    return cut.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -182,13 +182,19 @@ def _compare(leaf: int, b1: int, b2: int, t: pa.Table, threshold: float, kind) -
     links, I, J = np.zeros(n, np.int64), [], []
     A = np.flatnonzero(side == b1)
     C = np.flatnonzero(side == b2)
-    for a in range(0, len(A), 512):
-        rows = A[a:a + 512]
-        near = U[rows] @ U[C].T >= threshold
-        i, j = np.nonzero(near)
-        i, j = rows[i], C[j]
+    V = U.astype(np.float32)
+    for a in range(0, len(A), 256):
+        rows = A[a:a + 256]
+        cols = C[a:] if b1 == b2 else C
+        # Single precision finds what may be a link, double precision decides.
+        i, j = np.nonzero(V[rows] @ V[cols].T >= np.float32(threshold - 1e-4))
+        i, j = rows[i], cols[j]
         keep = i < j if b1 == b2 else np.ones(len(i), bool)
         i, j = i[keep], j[keep]
+        for c in range(0, len(i), 1 << 16):
+            s = slice(c, c + (1 << 16))
+            keep[:len(i)][s] = np.einsum("ij,ij->i", U[i[s]], U[j[s]]) >= threshold
+        i, j = i[keep[:len(i)]], j[keep[:len(i)]]
         if not len(i):
             continue
         for c in range(0, len(i), 1 << 16):

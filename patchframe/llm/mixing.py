@@ -49,28 +49,16 @@ def word_tables(labelled: DataFrame, classes: list[str], text: str, cls: str) ->
     return tables
 
 
-def _inverse(m: list[list[float]]) -> list[list[float]]:
-    """Inverse of a small positive definite matrix, by elimination."""
-    k = len(m)
-    a = [list(row) + [float(i == j) for j in range(k)] for i, row in enumerate(m)]
-    for i in range(k):
-        a[i] = [x / a[i][i] for x in a[i]]
-        for j in range(k):
-            if j != i:
-                a[j] = [x - a[j][i] * y for x, y in zip(a[j], a[i])]
-    return [row[k:] for row in a]
-
-
 def fit_rates(cells: DataFrame, classes: list[str], goal: list[float], least: float = 0.0, tolerance: float = 1e-4, max_rounds: int = 200) -> DataFrame:
     """Rates of rows with ``size`` and ``post`` (an array, one posterior per class).
 
     Minimises half the squared distance between the expected class totals
-    ``sum(rate * size * post)`` and ``goal`` (both as shares of all size), measured after
-    whitening by the totals' Gram matrix, over rates of at least ``least``: projected
-    gradient steps from rate one, with momentum that restarts when it overshoots.  In the
-    whitened measure no direction is steeper than another, so a step of one is safe.  A
-    round is one aggregation of as many sums as there are classes; it ends when every
-    total is within ``tolerance`` of its goal or none moves by a tenth of that any more.
+    ``sum(rate * size * post)`` and ``goal`` (both as shares of all size) over rates of
+    at least ``least``: projected gradient steps from rate one, as long as the steepest
+    direction of the totals' Gram matrix allows, with momentum that restarts when the
+    distance grows.  A round is one aggregation of as many sums as there are classes.  It
+    ends when every total is within ``tolerance`` of its goal, or after ten rounds in
+    which none moved by a tenth of that: out of reach, as near as can be.
     """
     k = len(classes)
     post = lambda i: F.get("post", F.lit(i))
@@ -78,23 +66,20 @@ def fit_rates(cells: DataFrame, classes: list[str], goal: list[float], least: fl
     if not total:
         return cells.withColumn("rate", F.lit(1.0))
     gram = cells.agg(*[F.sum(F.col("size") / total * post(i) * post(j)) for i in range(k) for j in range(k)]).first()
-    white = _inverse([[gram[i * k + j] + (1e-9 if i == j else 0) for j in range(k)] for i in range(k)])
+    steepest = max(sum(abs(gram[i * k + j]) for j in range(k)) for i in range(k))  # at least the largest eigenvalue
     state = cells.withColumn("rate", F.lit(1.0)).withColumn("lead", F.lit(1.0))
-    t, before, owned, off_before = 1.0, None, None, math.inf
+    t, before, owned, far, idle = 1.0, None, None, math.inf, 0
     for n in range(max_rounds):
         now = state.agg(*[F.sum(F.col("size") / total * F.col(x) * post(i)) for x in ("lead", "rate") for i in range(k)]).first()
-        at = list(now[k:])
-        off = max(abs(a - g) for a, g in zip(at, goal))
-        still = before is not None and max(abs(a - b) for a, b in zip(at, before)) < tolerance / 10
-        if off < tolerance or still:
+        lead, at = list(now[:k]), list(now[k:])
+        idle = idle + 1 if before is not None and max(abs(a - b) for a, b in zip(at, before)) < tolerance / 10 else 0
+        if max(abs(a - g) for a, g in zip(at, goal)) < tolerance or idle >= 10:
             break
-        lead, t = (at, 1.0) if off > off_before else (list(now[:k]), t)
-        restart = off > off_before
-        before, off_before = at, off
-        off_by = [a - g for a, g in zip(lead, goal)]
-        grad = [sum(white[i][j] * off_by[j] for j in range(k)) for i in range(k)]
-        if restart:
-            state = state.withColumn("lead", F.col("rate"))
+        distance = sum((a - g) ** 2 for a, g in zip(at, goal))
+        if distance > far:
+            state, lead, t = state.withColumn("lead", F.col("rate")), at, 1.0
+        before, far = at, distance
+        grad = [(a - g) / steepest for a, g in zip(lead, goal)]
         slope = sum((post(i) * F.lit(g) for i, g in enumerate(grad)), F.lit(0.0))
         t_next = (1 + math.sqrt(1 + 4 * t * t)) / 2
         state = state.withColumn("next", F.greatest(F.lit(least), F.col("lead") - slope))
@@ -109,12 +94,13 @@ def fit_rates(cells: DataFrame, classes: list[str], goal: list[float], least: fl
 
 
 def mix_to_targets(annotations: DataFrame, labelled: DataFrame, targets: dict[str, float], id: str = "id", text: str = "name",
-                   cls: str = "class_id", least: float = 0.0, fit_rows: int = 20_000, keep: list[str] | None = None) -> DataFrame:
+                   cls: str = "class_id", least: float = 0.0, budget: float = 1.0, fit_rows: int = 20_000, keep: list[str] | None = None) -> DataFrame:
     """Rate of every annotation so that expected class totals meet ``targets``: ``id, keep…, size, post_<class>…, rate``.
 
     annotations   id and free text (``name``)
     labelled      id and class of some of them, one row per id; classes outside ``targets`` are left out
     targets       class -> share of the total size; shares are scaled to add up to one
+    budget        total size asked for, as a multiple of the size there is
     size          words of the text
     least         smallest rate allowed (1: every row stays)
 
@@ -124,13 +110,13 @@ def mix_to_targets(annotations: DataFrame, labelled: DataFrame, targets: dict[st
     cell, and there are at most STEPS ^ classes cells, whatever the number of rows.  All
     rows' sizes enter the fit and all rows get a rate.
 
-    A null text is empty and counts as one empty word of size 0, so it only has a prior-like posterior.  Repeated rows and null ids keep their
-    rows.  With no labels posteriors are even and rates one wherever the targets allow it.
+    A null text is empty: one empty word to the classifier, and of size 0.  Repeated rows
+    and null ids keep their rows.  With no labels posteriors are even and rates one wherever the targets allow it.
     An empty table gives an empty result; other columns do not matter.
     """
     keep = keep or []
     classes = sorted(targets)
-    share = [targets[c] / sum(targets.values()) for c in classes]
+    share = [budget * targets[c] / sum(targets.values()) for c in classes]
     A = annotations.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     L = labelled.select(F.col(id).alias("_id"), F.col(cls).alias("_c")).where(F.col("_c").isin(classes) & F.col("_id").isNotNull())
     L = L.orderBy(F.xxhash64("_id")).limit(fit_rows)

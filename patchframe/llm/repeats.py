@@ -456,12 +456,15 @@ def _strings_find(length: int):
     return find
 
 
-def remove_repeats(annotations: DataFrame, length: int = 50, id: str = "id", text: str = "name", crowd: int = CROWD) -> DataFrame:
-    """Annotations without what earlier ones say too: ``id, n_bytes, spans, n_removed, kept``.
+def remove_repeats(annotations: DataFrame, length: int = 50, id: str = "id", text: str = "name", crowd: int = CROWD,
+                   whole_characters: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Annotations without what earlier ones say too: ``id, keep…, n_bytes, spans, n_removed, kept``.
 
     annotations   id (integer) and free text (``name``), as UTF-8 bytes
     spans         removed runs of bytes, ``start, stop``, maximal and in order
     kept          the other bytes, end to end
+    keep          columns carried along
+    whole_characters   leave a character that is covered in part, so that ``kept`` is text
 
     A byte goes if a string of ``length`` bytes that covers it also starts in an
     annotation with a smaller id.  Strings do not cross texts, may overlap, and are
@@ -480,8 +483,11 @@ def remove_repeats(annotations: DataFrame, length: int = 50, id: str = "id", tex
     """
     if length < 4:
         raise ValueError("repeats: a length of at least 4 bytes is needed")
-    A = annotations.select(F.col(id).cast("long").alias("id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t"))
-    known = A.where("id IS NOT NULL")
+    keep = keep or []
+    A = annotations.select(
+        F.col(id).cast("long").alias("id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    carried = [f"k{i}" for i in range(len(keep))]
+    known = A.where("id IS NOT NULL").select("id", "t")
     total = known.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     buckets = max(16, math.ceil(total / (12 << 20)))
 
@@ -504,28 +510,47 @@ def remove_repeats(annotations: DataFrame, length: int = 50, id: str = "id", tex
     dups = folded.where("dup IS NOT NULL").select("id", "dup").unionByName(sorted_).groupBy("id").agg(F.collect_list("dup").alias("dup"))
 
     def cut(it):
-        span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
-        schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary())])
-
-        def rows():
-            for b in it:
-                for k, t, dup in zip(*(v.to_pylist() for v in b.columns)):
-                    if not dup:
-                        yield k, len(t), [], t
-                        continue
-                    d = np.concatenate([np.frombuffer(v, _D) for v in dup])
-                    lo = d["pos"].astype(np.int64)
-                    hi = np.minimum(lo + d["n"] - 1 + length, len(t))
-                    lo, hi = lo[lo < len(t)], hi[lo < len(t)]
-                    o = np.argsort(lo, kind="stable")
-                    lo, hi = lo[o], np.maximum.accumulate(hi[o])
-                    new = np.ones(len(lo), bool)
-                    new[1:] = lo[1:] > hi[:-1]
-                    first = np.flatnonzero(new)
-                    lo, hi = lo[first].tolist(), hi[np.append(first[1:], len(hi)) - 1].tolist()
-                    yield k, len(t), [{"start": x, "stop": y} for x, y in zip(lo, hi)], b"".join([t[x:y] for x, y in zip([0, *hi], [*lo, len(t)])])
-        yield from batches(schema, rows(), 2000)
-
-    out = A.join(dups, "id", "left").select("id", "t", "dup").mapInArrow(cut, "id bigint, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
+        span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        for b in it:
+            sizes, spans, kept = [], [], []
+            for t, dup in zip(b.column("t").to_pylist(), b.column("dup").to_pylist()):
+                runs = _runs(dup, len(t), length)
+                if whole_characters:
+                    runs = [(x, y) for x, y in ((_inward(t, x, 1), _inward(t, y, -1)) for x, y in runs) if x < y]
+                sizes.append(len(t))
+                spans.append([{"start": x, "stop": y} for x, y in runs])
+                kept.append(b"".join([t[x:y] for x, y in zip([0, *[y for _, y in runs]], [*[x for x, _ in runs], len(t)])]))
+            own = [b.column(c) for c in ("id", *carried)]
+            yield pa.RecordBatch.from_arrays(
+                [*own, pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["id", *carried, "n_bytes", "spans", "kept"])
+
+    J = A.join(dups, "id", "left").select("id", *carried, "t", "dup")
+    kind = "".join(f"{c} {t}, " for c, t in J.select("id", *carried).dtypes)
+    out = J.mapInArrow(cut, kind + "n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
     return out.select(
-        F.col("id").alias(id), "n_bytes", "spans", F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["stop"] - s["start"]).alias("n_removed"), "kept")
+        F.col("id").alias(id), *[F.col(k).alias(c) for k, c in zip(carried, keep)], "n_bytes", "spans",
+        F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["stop"] - s["start"]).alias("n_removed"), "kept")
+
+
+def _runs(dup: list | None, size: int, length: int) -> list[tuple[int, int]]:
+    """Maximal covered runs of a text from the places of its repeated strings."""
+    if not dup:
+        return []
+    d = np.concatenate([np.frombuffer(v, _D) for v in dup])
+    d = d[d["pos"] < size]
+    lo = d["pos"].astype(np.int64)
+    o = np.argsort(lo, kind="stable")
+    lo, hi = lo[o], np.maximum.accumulate(np.minimum(lo + d["n"] - 1 + length, size)[o])
+    if not len(lo):
+        return []
+    new = np.ones(len(lo), bool)
+    new[1:] = lo[1:] > hi[:-1]
+    first = np.flatnonzero(new)
+    return list(zip(lo[first].tolist(), hi[np.append(first[1:], len(hi)) - 1].tolist()))
+
+
+def _inward(t: bytes, at: int, step: int) -> int:
+    """Nearest place from ``at`` on where a character begins."""
+    while 0 < at < len(t) and t[at] & 0xC0 == 0x80:
+        at += step
+    return at

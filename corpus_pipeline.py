@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose whole text scores below the toxicity threshold of their language."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model, cuts = toxicity.fit_toxicity(docs.select(*COLUMNS).join(labels, "doc_id"), "text", id="doc_id")
+    model, cuts = toxicity.fit_toxicity(docs, labels, "text", id="doc_id")
     scored = toxicity.score_toxicity(docs, model, cuts, "doc_id", "text", "lang", keep=COLUMNS[1:])
     return scored.where("toxic = 0").select(*COLUMNS)
 

@@ -135,11 +135,11 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.withColumnsRenamed({"id": "doc_id", "size": "n_words"})
 
 
-def toxicity_model(spark: SparkSession, docs: DataFrame, sf: str):
-    """Model and thresholds from the labelled documents that are not held out."""
-    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "toxic")
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("name"), "lang")
-    return toxicity.fit_toxicity(texts.where(~held_out(F.col("id"))).join(labels, "id"))
+def toxicity_model(spark: SparkSession, sf: str):
+    """Model and thresholds from the labels that are not held out."""
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "toxic").where(~held_out(F.col("id")))
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), "lang")
+    return toxicity.fit_toxicity(texts, labels)
 
 
 def held_out(key):
@@ -148,8 +148,7 @@ def held_out(key):
 
 @query
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    model, _ = toxicity_model(spark, docs, sf)
+    model, _ = toxicity_model(spark, sf)
     scored = toxicity.score_toxicity(names(spark, sf), model)
     return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", F.col("toxic").alias("predicted"))
 

@@ -175,20 +175,22 @@ def best_cut(logits: np.ndarray, y: np.ndarray) -> float:
     return float((l[k] + nxt[k]) / 2)
 
 
-def fit_toxicity(labelled: DataFrame, text: str = "name", toxic: str = "toxic", lang: str = "lang", id: str = "id",
+def fit_toxicity(annotations: DataFrame, labels: DataFrame, text: str = "name", toxic: str = "toxic", lang: str = "lang", id: str = "id",
                  fit_rows: int = 10_000, epochs: int = 8, seed: int = 5) -> tuple[Model, dict]:
-    """Model and the thresholds of each language, from annotations labelled ``toxic`` 0 or 1.
+    """Model and the thresholds of each language, from annotations that ``labels`` (``id, toxic``) call toxic, 0 or 1.
 
-    Fitted on a bounded sample: the ``fit_rows`` labelled rows that come first in hash
-    order, whole texts, sent to the driver as word hashes.  One in five is held back for
+    Fitted on a bounded sample: the ``fit_rows`` labels that come first in hash order of
+    their ids, so few that they are sent to where the texts are; whole texts, which go to
+    the driver as word hashes.  One in five is held back for
     calibration: the score is shifted so that 0.3 is the cut with the best F1 there, and
     ``thresholds`` has the best cut per language (of at least 20 held-back texts of both
     kinds, else 0.3).  Rows with a null label are left out.  Without labels of both kinds
     every score is below 0.3.
     """
-    rows = labelled.where(F.col(toxic).isin(0, 1)).select(
-        F.col(id).cast("string").alias("id"), F.col(text).alias("t"), F.col(toxic).cast("int").alias("y"), F.coalesce(F.col(lang), F.lit("")).alias("lang"))
-    rows = rows.orderBy(F.xxhash64("id", "t"), "t", "y").limit(fit_rows)
+    L = labels.where(F.col(toxic).isin(0, 1) & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(toxic).cast("int").alias("y"))
+    L = L.orderBy(F.xxhash64("id"), "id", "y").limit(fit_rows)
+    T = annotations.select(F.col(id).alias("id"), F.col(text).alias("t"), F.coalesce(F.col(lang), F.lit("")).alias("lang"))
+    rows = T.join(F.broadcast(L), "id")
 
     def hashed(it):
         schema = pa.schema([("y", pa.int32()), ("lang", pa.string()), ("fold", pa.int64()), ("w", pa.binary())])
@@ -202,8 +204,9 @@ def fit_toxicity(labelled: DataFrame, text: str = "name", toxic: str = "toxic",
                         yield y[row + i], langs[row + i], fold[row + i], ids[at[i]:at[i + 1]].tobytes()
         yield from batches(schema, out())
 
+    # In one order whatever the tasks, as training goes by it.
     got = rows.select("y", "lang", F.pmod(F.xxhash64("t", F.lit(3)), F.lit(5)).alias("fold"), "t").mapInArrow(
-        hashed, "y int, lang string, fold bigint, w binary").toArrow()
+        hashed, "y int, lang string, fold bigint, w binary").toArrow().sort_by([("fold", "ascending"), ("w", "ascending"), ("y", "ascending")])
     y = np.asarray(got.column("y")).astype(np.int64) if len(got) else np.zeros(0, np.int64)
     texts = [np.frombuffer(w.as_py(), np.int32).reshape(-1, 1 + len(PREFIXES)) for w in got.column("w")]
     back = np.asarray(got.column("fold")) == 0 if len(got) else np.zeros(0, bool)

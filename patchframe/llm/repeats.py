@@ -24,7 +24,7 @@ from .suffixes import suffix_array
 from .words import ODD, hashes, mix, text_chunks
 
 ORDER_BITS, PLACE_BITS = np.uint64(33), np.uint64(31)
-BLOCK = 8 << 20  # bytes of text that a task packs together
+BLOCK = 6 << 20  # bytes of text that a task packs together
 CROWD = 4096  # surroundings of one gram that are sorted together; more are compared string by string
 SORTED = 12_000  # symbols that one suffix array is made of, if the next gram's strings do not fit
 
@@ -489,7 +489,7 @@ def remove_repeats(annotations: DataFrame, length: int = 50, id: str = "id", tex
     carried = [f"k{i}" for i in range(len(keep))]
     known = A.where("id IS NOT NULL").select("id", "t")
     total = known.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    buckets = max(16, math.ceil(total / (12 << 20)))
+    buckets = max(16, math.ceil(total / (4 << 20)))
 
     asked = known.mapInArrow(_shared_map(length, buckets), PACK)
     shared = asked.groupBy("bucket").applyInArrow(_shared_find, PACK)

@@ -392,9 +392,8 @@ counts AS (SELECT l_orderkey AS cell_id, p_brand AS gene, sum(l_quantity) AS n
 
 @query("atlas_signatures", f"""
 WITH {_CELL_TYPES},
-numbered AS (SELECT *, row_number() OVER (PARTITION BY cell_type ORDER BY cell_id) AS rn,
-                    count(*) OVER (PARTITION BY cell_type) AS k FROM obs),
-used AS (SELECT cell_id, cell_type, least(k, 2000) AS cells FROM numbered WHERE k >= 200 AND rn <= 2000),
+numbered AS (SELECT *, count(*) OVER (PARTITION BY cell_type) AS k FROM obs),
+used AS (SELECT cell_id, cell_type, k AS cells FROM numbered WHERE k >= 200),
 types AS (SELECT cell_type, max(cells) AS cells, count(*) AS n, row_number() OVER (ORDER BY cell_type) - 1 AS sig_idx
           FROM used GROUP BY cell_type),
 depth AS (SELECT cell_id, sum(n) AS d FROM counts GROUP BY cell_id),
@@ -414,7 +413,7 @@ def atlas_signatures(spark, sf):
     li, p = b.table(spark, sf, "lineitem"), b.table(spark, sf, "part")
     counts = li.join(p, li["l_partkey"] == p["p_partkey"]).groupBy(
         F.col("l_orderkey").alias("cell_id"), F.col("p_brand").alias("gene")).agg(F.sum("l_quantity").alias("n"))
-    s = atlas.atlas_signatures(obs, counts, order=F.col("cell_id"))
+    s = atlas.atlas_signatures(obs, counts)
     return b.rounded(s, "weight", digits=4)
 
 

@@ -20,7 +20,7 @@ def labelled(spark, sf):
 
 @query("spatial_block_split", f"""
 WITH {b.patches_sql()},
-l AS (SELECT *, floor((x + 50) / 300.0)::BIGINT || ',' || floor((y + 50) / 300.0)::BIGINT AS g FROM patches WHERE label < 3),
+l AS (SELECT *, slide || ' ' || floor((x + 50) / 300.0)::BIGINT || ',' || floor((y + 50) / 300.0)::BIGINT AS g FROM patches WHERE label < 3),
 f AS (SELECT g, row_number() OVER (ORDER BY min((slide, patch_id))) - 1 AS block_index, count(*) OVER () AS n FROM l GROUP BY g)
 SELECT slide, patch_id, block_index::INT AS block_index,
        n >= 4 AND block_index % (CASE WHEN n = 2 THEN 2 ELSE 3 END) = (CASE WHEN n = 2 THEN 1 ELSE 2 END) AS held_out

@@ -37,8 +37,7 @@ levels AS (SELECT slide, auto, glass::INT AS glass, greatest(1, auto - glass)::I
 @query("overview_downsample", f"""
 WITH {b.CELLS_SQL}
 SELECT slide, x // 3 AS x, y // 3 AS y, floor(avg(r))::INT AS r, floor(avg(g))::INT AS g, floor(avg(b))::INT AS b
-FROM cells, (SELECT slide AS s2, (max(x) + 1) // 3 AS ow, (max(y) + 1) // 3 AS oh FROM cells GROUP BY slide) e
-WHERE s2 = slide AND x // 3 < ow AND y // 3 < oh GROUP BY slide, x // 3, y // 3""")
+FROM cells GROUP BY slide, x // 3, y // 3""")
 def overview_downsample(spark, sf):
     return raster.downsample_cells(b.cells(spark, sf), 3)
 

@@ -30,16 +30,18 @@ def read_atlas(spark, obs_path: str, counts_path: str, tissue: str, diseases=())
     return obs, spark.read.parquet(counts_path).join(obs.select("cell_id"), "cell_id", "left_semi")
 
 
-def sample_cells(obs: DataFrame, per_type: int = 2000, min_cells: int = 200, order: Column | None = None,
+def sample_cells(obs: DataFrame, per_type: int | None = None, min_cells: int = 200, order: Column | None = None,
                  seed: int = 0) -> DataFrame:
-    """At most ``per_type`` cells of each type with enough of them.
+    """The cells of each type with enough of them; all, unless a sample is asked for.
 
-    The sample is the ``per_type`` smallest hashes.  A type's cells are first reduced
+    A sample of ``per_type`` cells is the ``per_type`` smallest hashes.  A type's cells are first reduced
     to the best of each of 256 hash groups, so one very large type is not ordered by
     a single task.
     """
     key = order if order is not None else F.xxhash64(F.col("cell_id"), F.lit(seed))
     sizes = obs.groupBy("cell_type").agg(F.count(F.lit(1)).alias("cells")).filter(F.col("cells") >= min_cells)
+    if per_type is None:
+        return obs.join(sizes, "cell_type").select("cell_id", "cell_type", "cells")
     d = obs.join(sizes, "cell_type").withColumn("__k", key).withColumn("__g", F.pmod(F.hash("cell_id"), F.lit(256)))
     ranked = lambda by: F.row_number().over(W.partitionBy(*by).orderBy("__k", "cell_id"))
     return (
@@ -64,7 +66,7 @@ def type_means(cells: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def atlas_signatures(
-    obs: DataFrame, counts: DataFrame, top: int = 40, per_type: int = 2000, min_cells: int = 200,
+    obs: DataFrame, counts: DataFrame, top: int = 40, per_type: int | None = None, min_cells: int = 200,
     min_genes: int = 5, order: Column | None = None, seed: int = 0, decimals: int = 4,
 ) -> DataFrame:
     """``sig_idx, name, gene, weight, cells, rank``: each type's most specific genes.

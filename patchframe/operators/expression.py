@@ -8,11 +8,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import cut_lineage
+
+
+SMALL_BYTES = 32 << 20  # written size up to which a per-slide table is broadcast
+SALTS = 64
+
+
+def beside(E: DataFrame, small: DataFrame, how: str = "inner", small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """Join a per-slide table to a map on ``slide`` without gathering a slide's rows.
+
+    The small side is written and measured.  Up to ``small_bytes`` it is broadcast, so the
+    map stays where it lies; beyond that its rows are repeated under SALTS keys a slide,
+    over which the slide's patches are spread by their own hash.
+    """
+    small = cut_lineage(small)
+    size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= small_bytes:
+        return E.join(F.broadcast(small), "slide", how)
+    spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = E.withColumn("__salt", F.pmod(F.xxhash64("patch_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, ["slide", "__salt"], how).drop("__salt")
+
+
+def as_arrays(E: DataFrame) -> DataFrame:
+    """The map with its values as arrays, whatever its layout."""
+    return unpack_codes(E) if E.schema["values"].dataType.typeName() == "binary" else E
+
 
 def decode(E: DataFrame, G: DataFrame) -> DataFrame:
     """Byte codes to values: ``code * scale + zero`` with each gene's own pair."""
-    if E.schema["values"].dataType.typeName() == "binary":
-        E = unpack_codes(E)
+    E = as_arrays(E)
     per_slide = G.groupBy("slide").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("gene_idx", "scale", "zero"))),
@@ -20,7 +46,7 @@ def decode(E: DataFrame, G: DataFrame) -> DataFrame:
         ).alias("__sz")
     )
     return (
-        E.join(per_slide, "slide")
+        beside(E, per_slide)
         .withColumn(
             "values",
             F.zip_with("values", "__sz", lambda v, s: (v * s.m + s.c).cast("float")),
@@ -31,17 +57,19 @@ def decode(E: DataFrame, G: DataFrame) -> DataFrame:
 
 def long_values(E: DataFrame, *extra: str) -> DataFrame:
     """One row per (patch, gene).  A view to aggregate from, never to store."""
-    return E.select("slide", "patch_id", *extra, F.posexplode("values").alias("gene_idx", "value"))
+    return as_arrays(E).select("slide", "patch_id", *extra, F.posexplode("values").alias("gene_idx", "value"))
 
 
 def gene_values(E: DataFrame, G: DataFrame, gene: str) -> DataFrame:
-    """One gene over every patch; null on slides whose map does not have it."""
-    at = G.filter(F.col("gene") == gene).groupBy("slide").agg(F.min("gene_idx").alias("__i"))
-    return (
-        E.select("slide", "patch_id", "values")
-        .join(at, "slide", "left")
-        .select("slide", "patch_id", F.get("values", F.col("__i")).alias("value"))
-    )
+    """One gene over every patch; null on slides whose map does not have it.
+
+    Byte codes come back as values where the gene has a scale.
+    """
+    at = G.filter(F.col("gene") == gene).groupBy("slide").agg(F.min(F.struct("gene_idx", "scale", "zero")).alias("__g"))
+    value = F.get("values", F.col("__g.gene_idx"))
+    if is_coded(E):
+        value = F.coalesce((value * F.col("__g.scale") + F.col("__g.zero")).cast("float"), value.cast("float"))
+    return beside(as_arrays(E).select("slide", "patch_id", "values"), at, "left").select("slide", "patch_id", value.alias("value"))
 
 
 def current_field(E, G, gene: str | None = None, signature: DataFrame | None = None) -> DataFrame:

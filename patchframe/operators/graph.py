@@ -193,8 +193,8 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
         (F.col("inside") / m2 - resolution * F.col("s2") / (m2 * m2)).alias("modularity"))
 
 
-def _move(edges: DataFrame, comm: DataFrame, strength: DataFrame, m2: float, resolution: float, turn: int) -> DataFrame:
-    """One synchronous pass: half of the nodes go to the neighbouring group that gains most."""
+def _move(edges: DataFrame, comm: DataFrame, strength: DataFrame, m2: float, resolution: float, turn: int, share: int) -> DataFrame:
+    """One synchronous pass: one in ``share`` nodes goes to the neighbouring group that gains most."""
     two = _both_ways(edges.filter("src <> dst"))
     links = two.join(comm.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("w").alias("k_in"))
     tot = comm.join(strength, "id").groupBy("label").agg(F.sum("s").alias("tot"))
@@ -205,41 +205,59 @@ def _move(edges: DataFrame, comm: DataFrame, strength: DataFrame, m2: float, res
     gain = F.col("k_in") - resolution * F.col("s") * (F.col("tot") - mine) / m2
     best = (
         options.join(own, "src").join(tot, "label")
-        .withColumn("gain", F.round(gain, 12))
+        .withColumn("gain", F.round(gain, 9))
         .groupBy("src", "old")
         .agg(
-            F.max_by("label", F.struct("gain", (F.col("label") == F.col("old")).alias("stay"), -F.col("label"))).alias("to")
+            F.max_by("label", F.struct("gain", (F.col("label") == F.col("old")).alias("stay"), -F.col("label"))).alias("to"),
+            F.max("gain").alias("top"), F.max(F.when(F.col("label") == F.col("old"), F.col("gain"))).alias("now"),
         )
     )
-    turn_of = F.pmod(F.xxhash64("src", F.lit(turn)), F.lit(2)) == 0
+    unhappy = (F.col("to") != F.col("old")) & (F.col("top") > F.col("now"))
+    turn_of = F.pmod(F.xxhash64("src", F.lit(turn)), F.lit(share)) == 0
     return best.select(
-        F.col("src").alias("id"), F.when(turn_of, F.col("to")).otherwise(F.col("old")).alias("label"),
-        (F.col("to") != F.col("old")).alias("unhappy"),
+        F.col("src").alias("id"), F.when(turn_of & unhappy, F.col("to")).otherwise(F.col("old")).alias("label"),
+        unhappy.alias("unhappy"), (turn_of & unhappy).alias("moved"),
     )
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 1, max_rounds: int = 6, max_levels: int = 3) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 1) -> DataFrame:
     """Groups that raise modularity, 0 the largest: local moves, then contraction.
 
-    Moves are joins over the whole graph at once; a random half of the nodes moves per
-    round, which keeps neighbours from trading places for ever.  Judge the result by
-    its modularity, not by its labels.
+    Moves are joins over the whole graph at once; a hashed part of the nodes moves per
+    round, half of them at first.  A round that does not raise modularity is taken back
+    and fewer nodes move in the next; a node alone that wants to move always raises it.
+    So a level ends when no node gains by moving, and the whole when contraction leaves
+    nothing to move.  Judge the result by its modularity, not by its labels.
     """
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     result = nodes.select("id", F.col("id").alias("label"))
     level = cut_lineage(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
     m2 = 2.0 * (level.agg(F.sum("w")).first()[0] or 0.0)
-    for _ in range(max_levels):
+    turn = seed
+    while True:
         ends = level.select(F.col("src").alias("id"), "w").unionByName(level.select(F.col("dst").alias("id"), "w"))
         strength = cut_lineage(ends.groupBy("id").agg(F.sum("w").alias("s")))
         comm = strength.select("id", F.col("id").alias("label"))
-        for i in range(max_rounds):
-            moved = cut_lineage(_move(level, comm, strength, m2, resolution, seed + i))
-            comm = moved.select("id", "label")
-            if moved.filter("unhappy").isEmpty():
+        quality = modularity(level, comm, resolution).first()[0]
+        share = 2
+        while m2:
+            tried = cut_lineage(_move(level, comm, strength, m2, resolution, turn, share))
+            turn += 1
+            counts = tried.agg(F.count_if("unhappy").alias("u"), F.count_if("moved").alias("m")).first()
+            if not counts["u"]:
                 break
-        changed = not comm.filter(F.col("id") != F.col("label")).isEmpty()
-        if not changed:
+            if not counts["m"]:
+                share = max(1, share // 2)  # the hash picked none of the few that want to
+                continue
+            reached = modularity(level, tried, resolution).first()[0]
+            if reached > quality:
+                comm, quality = tried.select("id", "label"), reached
+                share = max(2, share // 2)
+            elif counts["m"] == 1:
+                break  # a gain too small for doubles to show
+            else:
+                share *= 2
+        if comm.filter(F.col("id") != F.col("label")).isEmpty():
             break
         result = cut_lineage(
             result.join(comm.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select(

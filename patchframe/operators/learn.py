@@ -74,12 +74,11 @@ class Components:
 def pca_scores(emb: DataFrame, k: int | None = None, column: str = "vec") -> Components:
     """Centred principal components, each turned so its largest loading is positive.
 
-    ``k`` defaults to min(50, max(2, n // 3)), at most the width of the vectors.
+    ``k`` defaults to 50, at most the width of the vectors.
     ``explained`` is each component's share of the total variance.
     """
     d = _vectors(emb, column)
-    head = d.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(column)).alias("d")).first()
-    k = min(k if k is not None else min(50, max(2, head["n"] // 3)), head["d"])
+    k = min(k if k is not None else 50, d.agg(F.max(F.size(column))).first()[0])
     scaler = StandardScaler(withMean=True, withStd=False, inputCol="__v", outputCol="__c").fit(d)
     model = PCA(k=k, inputCol="__c", outputCol="__s").fit(scaler.transform(d))
     load = model.pc.toArray()
@@ -102,10 +101,12 @@ def kmeans(points: DataFrame, k: int, column: str = "scores", seed: int = 1) ->
     """(labelled points, sizes, mean squared distance to the own centre)."""
     d = _vectors(points, column)
     n = d.count()
-    # spark.ml wants at least two clusters; one cluster is every point.
+    # spark.ml wants at least two clusters; one cluster is every point, its centre their mean.
     if min(k, n) < 2:
         one = points.withColumn("label", F.lit(0))
-        return one, one.groupBy("label").agg(F.count(F.lit(1)).alias("size")), float("nan")
+        spread = d.select(Summarizer.variance(F.col("__v")).alias("v")).first()["v"] if n else None
+        inertia = float(spread.toArray().sum()) * (n - 1) / n if n else 0.0
+        return one, one.groupBy("label").agg(F.count(F.lit(1)).alias("size")), inertia
     model = KMeans(k=min(k, n), maxIter=100, seed=seed, featuresCol="__v", predictionCol="cluster", tol=0.0).fit(d)
     labelled, sizes = by_size(model.transform(d).drop("__v"))
     return labelled, sizes, model.summary.trainingCost / n
@@ -123,14 +124,16 @@ def discover(emb: DataFrame, k: int, column: str = "vec", seed: int = 1) -> tupl
 def spatial_block_split(df: DataFrame, block_px: float, roi: str | None = None, order: str = "row") -> DataFrame:
     """Add ``block_index`` (by first row) and ``held_out``.
 
-    Groups are regions of interest when there is more than one, else square blocks.
-    Every third group is held out, the second of exactly two regions, none when there
-    are fewer than two regions or four blocks.
+    Groups are regions of interest when there is more than one, else square blocks, of
+    one slide each where there is a ``slide`` column.  Every third group is held out, the
+    second of exactly two regions, none when there are fewer than two regions or four
+    blocks.
     """
-    if roi is not None and df.select(roi).distinct().limit(2).count() > 1:
-        d, least = df.withColumn("__g", F.col(roi).cast("string")), 2
+    own = [F.col("slide")] if "slide" in df.columns else []
+    if roi is not None and df.select(*own, roi).distinct().limit(2).count() > 1:
+        d, least = df.withColumn("__g", F.struct(*own, F.col(roi).cast("string").alias("__r"))), 2
     else:
-        d, least = df.withColumn("__g", block_of("px", "py", float(block_px))), 4
+        d, least = df.withColumn("__g", F.struct(*own, block_of("px", "py", float(block_px)).alias("__r"))), 4
     g = d.groupBy("__g").agg(F.min(order).alias("__first"))
     g = g.withColumn("block_index", F.row_number().over(W.orderBy("__first")) - 1).withColumn(
         "__n", F.count(F.lit(1)).over(W.partitionBy()))
@@ -154,14 +157,14 @@ def classification_metrics(df: DataFrame, classes: int, label: str = "label", pr
     pairs = df.groupBy(F.col(label).cast("int").alias("l"), F.col(prediction).cast("int").alias("p")).agg(
         F.count(F.lit(1)).alias("n"))
     ids = df.sparkSession.range(classes).select(F.col("id").cast("int").alias("class"))
-    sums = ids.join(pairs, (F.col("l") == F.col("class")) | (F.col("p") == F.col("class")), "left")
     count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-    mine, said = F.col("l") == F.col("class"), F.col("p") == F.col("class")
     total = pairs.agg(F.sum("n").alias("__t"), F.sum(F.when(F.col("l") == F.col("p"), F.col("n")).otherwise(0)).alias("__c"))
-    d = sums.groupBy("class").agg(
-        count(mine & said).alias("tp"), count(mine).alias("actual"), count(said).alias("predicted"),
-        *[count(mine & (F.col("p") == j)).alias(f"as_{j}") for j in range(classes)],
-    )
+    by_label = pairs.groupBy(F.col("l").alias("class")).agg(
+        count(F.col("p") == F.col("l")).alias("tp"), F.sum("n").alias("actual"),
+        *[count(F.col("p") == j).alias(f"as_{j}") for j in range(classes)])
+    by_said = pairs.groupBy(F.col("p").alias("class")).agg(F.sum("n").alias("predicted"))
+    d = ids.join(by_label, "class", "left").join(by_said, "class", "left").na.fill(0)
+    d = d.select("class", "tp", "actual", "predicted", *[f"as_{j}" for j in range(classes)])
     ratio = lambda a, b: F.coalesce(a / F.when(b != 0, b), F.lit(0.0))
     p, r = F.col("precision"), F.col("recall")
     return (
@@ -243,11 +246,11 @@ def train_head(
     """
     k = len(classes)
     if k < 2:
-        raise NotEnoughLabels("label at least two classes")
+        raise NotEnoughLabels(f"a head needs two classes or more, {k} given")
     counts = _class_counts(labelled)
     empty = [c for i, c in enumerate(classes) if not counts.get(i)]
     if empty:
-        raise NotEnoughLabels("no patches labelled " + " or ".join(empty))
+        raise NotEnoughLabels("classes without a labelled patch: " + ", ".join(empty))
     mean, scale = _moments(population if population is not None else labelled, column, 1e-3)
     split = _scaled(spatial_block_split(labelled, block_px, roi), mean, scale, column).cache()
     try:
@@ -255,7 +258,9 @@ def train_head(
         held = _class_counts(test)
         train = split.filter("not held_out")
         used = _class_counts(train)
-        if sum(used.values()) < k:
+        # With next to nothing left to fit on, everything is; then nothing unseen is left to score on.
+        enough = sum(used.values()) >= k
+        if not enough:
             train, used = split, counts
         fit_counts = {i: used.get(i, 0) for i in range(k)}
         dim = len(mean)
@@ -269,13 +274,15 @@ def train_head(
             F.count_distinct(F.when(F.col("held_out"), F.col("block_index"))).alias("h"),
         ).first()
         model.blocks = info["h"]
-        if held and len(held) == k:
+        if not enough:
+            model.unscored = "too few labels lie outside the blocks set aside, so all were learned from"
+        elif held and len(held) == k:
             scored = predict_head(model, test, column).withColumn("prediction", _argmax("probs"))
             model.metrics = _small(classification_metrics(scored, k))
         elif held:
-            model.unscored = f"the held-out part has only {len(held)} of {k} classes in it"
+            model.unscored = f"of {k} classes the blocks set aside show {len(held)}"
         else:
-            model.unscored = f"the labels sit in {info['n']} places, too few to hold any back"
+            model.unscored = f"all labels come from {info['n']} places: none can be set aside"
         if refit:
             lr = _fit(split, counts, l2_for(dim, sum(counts.values())), "multinomial")
             model.weights = _matrix(lr.coefficientMatrix, k, dim)
@@ -322,9 +329,9 @@ def train_tissue_model(samples: DataFrame, name: str, column: str = "features")
     try:
         counts = _class_counts(samples)
         if not counts.get(1):
-            raise NotEnoughLabels("label some tissue before training")
+            raise NotEnoughLabels("no region is labelled tissue")
         if not counts.get(0):
-            raise NotEnoughLabels("label some artefacts too: mark a few wrong detections")
+            raise NotEnoughLabels("no region is labelled artefact")
         mean, scale = _moments(samples, column, 1.0)
         split = _scaled(region_split(samples), mean, scale, column)
         train, test = split.filter("not held_out"), split.filter("held_out")
@@ -339,7 +346,7 @@ def train_tissue_model(samples: DataFrame, name: str, column: str = "features")
             scored = predict_tissue(model, test, column).withColumn("prediction", (F.col("prob") >= 0.5).cast("int"))
             model.metrics = _small(classification_metrics(scored, 2))
         else:
-            model.unscored = "too few regions to hold one of each class back"
+            model.unscored = "a class has fewer than three regions, so none was set aside"
         return model
     finally:
         samples.unpersist()

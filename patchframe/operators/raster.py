@@ -12,44 +12,26 @@ from pyspark.sql import functions as F
 
 from patchframe.functions import scalar as sc
 
-MAX_SIDE = 2048
-
 
 def read_cells(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).select("slide", "x", "y", "r", "g", "b")
 
 
-def overview_step(extent: DataFrame, max_side: int = MAX_SIDE) -> DataFrame:
-    """Sampling step that brings each slide's whole extent (slide, w, h in cells) under a side."""
-    return extent.withColumn(
-        "step", F.greatest(F.lit(1), F.ceil(F.greatest("w", "h") / max_side)).cast("int")
-    )
+def overview_step(slides: DataFrame, target_um: float) -> DataFrame:
+    """Sampling step that brings each slide's cells (slide, cell_um) nearest to one size, the same for slides of any extent."""
+    return slides.withColumn("step", F.greatest(F.lit(1), F.round(target_um / F.col("cell_um"))).cast("int"))
 
 
-def downsample_cells(C: DataFrame, step: int | None = None, max_side: int = MAX_SIDE) -> DataFrame:
-    """Box average by a step; without one, each slide's own step from its extent.
+def downsample_cells(C: DataFrame, step: int | DataFrame) -> DataFrame:
+    """Box average by a step, or by each slide's own step (slide, step).
 
-    The whole level is read, never a crop.  Colours are truncated as a byte store
-    would; boxes cut off by the far edge that do not make a whole step are left out.
+    The whole level is read, never a crop.  Colours are truncated as a byte store would;
+    a box cut off by the far edge averages what it holds.
     """
-    extent = C.groupBy("slide").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    if step is not None:
-        extent = extent.withColumn("step", F.lit(int(step)))
-    else:
-        extent = overview_step(extent, max_side)
-    ext = extent.select(
-        "slide", "step",
-        F.greatest(F.lit(1), F.floor(F.col("w") / F.col("step"))).cast("int").alias("ow"),
-        F.greatest(F.lit(1), F.floor(F.col("h") / F.col("step"))).cast("int").alias("oh"),
-    )
-    boxed = (
-        C.join(ext, "slide")
-        .withColumns({"ox": F.floor(F.col("x") / F.col("step")).cast("int"),
-                      "oy": F.floor(F.col("y") / F.col("step")).cast("int")})
-        .filter((F.col("ox") < F.col("ow")) & (F.col("oy") < F.col("oh")))
-    )
+    boxes = C.withColumn("step", F.lit(int(step))) if isinstance(step, int) else C.join(step.select("slide", "step"), "slide")
     mean = lambda c: F.floor(F.avg(c)).cast("int").alias(c)
-    return boxed.groupBy("slide", F.col("ox").alias("x"), F.col("oy").alias("y")).agg(mean("r"), mean("g"), mean("b"))
+    part = lambda c: F.floor(F.col(c) / F.col("step")).cast("int").alias(c)
+    return boxes.groupBy("slide", part("x"), part("y")).agg(mean("r"), mean("g"), mean("b"))
 
 
 def fill_missing(C: DataFrame, extent: DataFrame) -> DataFrame:

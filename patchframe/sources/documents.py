@@ -169,7 +169,7 @@ def geojson_features(R: DataFrame, classes: DataFrame, extra_key: str = "patchfr
 
 
 def geojson_documents(
-    R: DataFrame, classes: DataFrame, extra_key: str = "patchframe", max_features: int = 50_000,
+    R: DataFrame, classes: DataFrame, max_features: int, extra_key: str = "patchframe",
 ) -> DataFrame:
     """``slide, part, value``: FeatureCollections, one per slide.
 
@@ -184,9 +184,16 @@ def geojson_documents(
         F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}")).alias("value"))
 
 
-def write_geojson(R: DataFrame, classes: DataFrame, path: str, **options) -> None:
-    """One folder per slide, one whole document per file."""
-    d = geojson_documents(R, classes, **options)
+def write_geojson(R: DataFrame, classes: DataFrame, path: str, max_features: int | None = None, **options) -> None:
+    """One folder per slide with one Feature a line, whatever their number.
+
+    ``max_features`` asks for FeatureCollections of about that many instead, one a file.
+    """
+    if max_features is None:
+        f = geojson_features(R, classes, **options)
+        f.select("slide", F.col("feature").alias("value")).write.mode("overwrite").partitionBy("slide").text(path)
+        return
+    d = geojson_documents(R, classes, max_features, **options)
     d.select("slide", "part", "value").write.mode("overwrite").partitionBy("slide", "part").text(path)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchframe.functions.scalar import obs_name
-from patchframe.operators.expression import decode, is_coded, pack_codes
+from patchframe.operators.expression import beside, decode, is_coded, pack_codes
 
 
 def fixed_text(c, digits: int) -> Column:
@@ -51,10 +51,11 @@ def expression_lines(E: DataFrame, G: DataFrame, digits: int = 5) -> tuple[DataF
     """(header, lines) of the CSV with every gene, as text: a map has too many genes
     to give each a column."""
     names = G.groupBy("slide").agg(F.transform(F.array_sort(F.collect_list(F.struct("gene_idx", "gene"))), lambda g: g.gene).alias("g"))
-    header = names.select("slide", F.concat_ws(",", F.lit("patch,x,y,size"), F.concat_ws(",", "g")).alias("value"))
+    place = [c for c in ("col", "row") if c in E.columns]
+    header = names.select("slide", F.concat_ws(",", F.lit(",".join(["patch", *place, "x,y,size"])), F.concat_ws(",", "g")).alias("value"))
     vals = F.transform("values", lambda v: F.format_string(f"%.{digits}f", v.cast("double")))
     lines = E.select("slide", "patch_id", F.concat_ws(
-        ",", F.col("patch_id").cast("string"), F.col("x").cast("string"), F.col("y").cast("string"),
+        ",", F.col("patch_id").cast("string"), *[F.col(c).cast("string") for c in place], F.col("x").cast("string"), F.col("y").cast("string"),
         F.col("side").cast("string"), F.concat_ws(",", vals)).alias("value"))
     return header, lines
 
@@ -77,7 +78,7 @@ def anndata_tables(
         var = var.join(genes.select("gene", "ordinal"), "gene").select("slide", "gene_idx", "gene", "ordinal")
         pick = var.groupBy("slide").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "gene_idx"))), lambda g: g.gene_idx).alias("__p"))
-        X = E.join(pick, "slide")
+        X = beside(E, pick)
         x = F.transform("__p", lambda i: F.get(F.col("values"), i))
     name = obs_name("x", "y").alias("obs")
     obs = E.select("slide", "patch_id", name, "x", "y")
@@ -108,20 +109,26 @@ def write_quantised(E8: DataFrame, G8: DataFrame, path: str) -> None:
     G8.write.mode("overwrite").partitionBy("slide").parquet(f"{path}/genes")
 
 
-def patch_manifest(P: DataFrame, meta: DataFrame, max_patches: int = 200_000) -> DataFrame:
-    """``slide, region_id, part, value``: the grid as JSON documents.
+def patch_manifest(P: DataFrame, meta: DataFrame, max_patches: int | None = None) -> DataFrame:
+    """``slide, region_id, part, value``: the grid as JSON.
 
     ``P`` has slide, region_id, index, col, row, x, y; ``meta`` the grid's fields per
-    region (see :func:`grid.grid_meta`).  Very large grids come as several documents
-    over consecutive index ranges, each with the full header.
+    region (see :func:`grid.grid_meta`).  There is one line with the header (part -1) and
+    one per patch (part = its index), whatever their number.  ``max_patches`` asks for
+    documents over ranges of that many patches instead, each with the full header.
     """
     keys = ["slide", "region_id"]
     total = P.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
-    d = P.withColumn("part", F.floor(F.col("index") / max_patches).cast("int"))
-    body = d.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("index", "col", "row", "x", "y"))).alias("patches"))
     m = meta.select(*keys, *[c for c in ("mpp", "level", "downsample") if c in meta.columns],
                     F.col("patch_px").alias("patchPx"), F.col("side").alias("patchPx0"),
                     F.col("patch_um").alias("patchUm"), "cols", "rows")
+    if max_patches is None:
+        head = m.join(total, keys)
+        head = head.select(*keys, F.lit(-1).cast("bigint").alias("part"), F.to_json(F.struct(*[c for c in head.columns if c != "region_id"])).alias("value"))
+        return head.unionByName(P.select(
+            *keys, F.col("index").cast("bigint").alias("part"), F.to_json(F.struct("index", "col", "row", "x", "y")).alias("value")))
+    d = P.withColumn("part", F.floor(F.col("index") / max_patches).cast("int"))
+    body = d.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("index", "col", "row", "x", "y"))).alias("patches"))
     doc = body.join(m, keys).join(total, keys)
     fields = [c for c in doc.columns if c not in ("region_id", "part")]
     return doc.select(*keys, "part", F.to_json(F.struct(*fields)).alias("value"))

@@ -96,6 +96,8 @@ def test_geojson_shapes_classes_and_measurements(spark, tmp_path):
     back, _, _ = documents.read_geojson(spark, out, every)
     key = lambda df: sorted((r["id"], r["geom_type"], r["class_id"], r["minx"], r["maxy"], r["locked"]) for r in df.collect())
     assert key(back) == key(R)
+    documents.write_geojson(R, every, out)  # one Feature a line
+    assert key(documents.read_geojson(spark, out, every)[0]) == key(R)
 
 
 def test_signature_files(spark, tmp_path):
@@ -235,6 +237,8 @@ def test_exports(spark, tmp_path):
     docs = exports.patch_manifest(P, grid.grid_meta(reg, 50), max_patches=1).collect()
     got = [json.loads(x["value"]) for x in docs]
     assert len(got) == 2 and {len(g["patches"]) for g in got} == {1} and got[0]["count"] == 2 and got[0]["patchPx0"] == 50
+    lines = {x["part"]: json.loads(x["value"]) for x in exports.patch_manifest(P, grid.grid_meta(reg, 50)).collect()}
+    assert lines[-1]["count"] == 2 and lines[-1]["patchPx0"] == 50 and lines[1] == {"index": 1, "col": 1, "row": 0, "x": 50, "y": 0}
     f = json.loads(exports.patch_features(P).orderBy("index").first()["feature"])
     assert f["geometry"]["coordinates"][0][2] == [50, 50] and f["properties"]["classification"]["name"] == "Patch"
     sq = grid.patch_squares(P.withColumnRenamed("index", "patch_id"), F.lit("c"))

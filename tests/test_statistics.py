@@ -206,3 +206,30 @@ def test_shards(spark):
                       (head.withColumn("side", F.col("shard")), "side"), (head.withColumn("n_rows", F.lit(4).cast("bigint")), "holds 3")):
         m, p = quantise.merge_shards(rows, bad)
         assert m.count() == 0 and any(word in r["problem"] for r in p.collect())
+
+
+def test_small_sides_do_not_move_the_map(spark):
+    from patchframe.operators import expression, signatures
+
+    rows = [(s, i, i % 5, i // 5, 1, [int((i * g + g) % 200) for g in range(6)]) for s in ("a", "b") for i in range(40)]
+    E = spark.createDataFrame(rows, "slide string, patch_id bigint, x bigint, y bigint, side int, values array<smallint>")
+    G = spark.createDataFrame([(s, g, f"G{g}", 0.5, 1.0) for s in ("a", "b") for g in range(6)], "slide string, gene_idx int, gene string, scale float, zero float")
+    S = spark.createDataFrame([(0, "m", "G1", 1.0, None), (0, "m", "G3", 2.0, None), (1, "n", "none", 1.0, None)], "sig_idx int, name string, gene string, weight double, cells bigint")
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = signatures.score_signatures(E, G, S)
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" in plan
+        weights = signatures.signature_weights(E, G, S)
+        same = lambda df: sorted(map(tuple, df.select("slide", "patch_id", "name", "total").collect()))
+        assert same(expression.beside(E, weights)) == same(expression.beside(E, weights, small_bytes=0))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    # All layouts of a map give the same scores and genes.
+    packed = expression.pack_codes(E)
+    key = lambda df: sorted((r["slide"], r["patch_id"], round(r[-1], 9)) for r in df.collect())
+    assert key(signatures.score_signatures(packed, G, S)) == key(scores)
+    values = expression.decode(packed, G)
+    assert key(expression.gene_values(packed, G, "G2")) == key(expression.gene_values(values, G, "G2")) == key(expression.gene_values(E, G, "G2"))
+    assert {(r["name"], r["found"]) for r in signatures.signature_coverage(G, S).collect()} == {("m", 2), ("n", 0)}

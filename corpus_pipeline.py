@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchframe.llm import bpe, jaccard, mixing, queries, repeats, toxicity
-from patchframe.llm.common import new_path
+from patchframe.llm.common import long_texts, new_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose whole text scores below the toxicity threshold of their language."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    labels = long_texts(spark).read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model, cuts = toxicity.fit_toxicity(docs, labels, "text", id="doc_id")
     scored = toxicity.score_toxicity(docs, model, cuts, "doc_id", "text", "lang", keep=COLUMNS[1:])
     return scored.where("toxic = 0").select(*COLUMNS)
@@ -26,6 +26,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with similar five-word shingles (0.8 or more), the one with the smallest id."""
+    long_texts(spark)
     groups = jaccard.similar_texts(docs, 5, 0.8, id="doc_id", text="text")
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
@@ -33,6 +34,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 bytes or more that an earlier one has; characters stay whole."""
+    long_texts(spark)
     cut = repeats.remove_repeats(docs, 50, "doc_id", "text", whole_characters=True, keep=["lang", "source"])
     text = F.decode("kept", "UTF-8")
     return cut.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
@@ -51,6 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of what they decode to."""
+    long_texts(spark)
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     back = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, "doc_id", "text"), ranks, "doc_id")
     return back.select("doc_id", "n_tokens", "ids", F.sha2("body", 256).alias("decoded_sha256"))

@@ -69,6 +69,17 @@ def batches(schema: pa.Schema, rows: Iterable[tuple], size: int = 2000, bytes_:
         yield out()
 
 
+BATCH_ROWS = 2000
+
+
+def long_texts(spark: SparkSession) -> SparkSession:
+    """Let the session send rows to Python in batches fit for texts: at most BATCH_ROWS at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 def blank(c) -> F.Column:
     """The text of a column; null counts as empty."""
     return F.coalesce(c if not isinstance(c, str) else F.col(c), F.lit(""))

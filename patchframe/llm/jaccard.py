@@ -28,7 +28,7 @@ def ngram_sets(column: pa.Array, n: int):
     Words stand between white space, ASCII letters in lower case.  A text with fewer
     than ``n`` words but at least one has one n-gram, all of it.
     """
-    for row, offsets, data in text_chunks(column):
+    for row, offsets, data in text_chunks(column, 1 << 18):
         low = _LOWER[data]
         s, e, text = tokens(low, offsets)
         h = hashes(low, s, e)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import archive, bpe, chat, forest, jaccard, mixing, repeats, shards, topk, toxicity
+from .common import long_texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -23,7 +24,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def names(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as annotations with free text: ``id, name``."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"))
+    return table(long_texts(spark), sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"))
 
 
 @query

@@ -24,7 +24,7 @@ CUT = 0.3  # score from which a text is called toxic
 
 def word_ids(column: pa.Array):
     """For runs of texts: first row, words per text, and per word its hash buckets (whole, and by prefix)."""
-    for row, offsets, data in text_chunks(column):
+    for row, offsets, data in text_chunks(column, 1 << 18):
         low, s, e, text = letters(data, offsets)
         ids = np.empty((len(s), 1 + len(PREFIXES)), np.int32)
         for k, n in enumerate((None, *PREFIXES)):
@@ -243,9 +243,13 @@ def score_toxicity(annotations: DataFrame, model: Model, thresholds: dict | None
     keep = keep or []
     A = annotations.select(F.col(id).alias("k"), F.col(text).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
                            *([F.col(lang).alias("lang")] if lang else []))
+    # The text itself, if it is to be kept, travels once.
+    carried = {f"k{i}": "t" for i, c in enumerate(keep) if c == text}
+    A = A.drop(*carried)
     others = [c for c in A.columns if c != "t"]
     sent = A.sparkSession.sparkContext.broadcast(model)  # some 2 MB, whatever the input
-    kind = ", ".join(f"{c} {t}" for c, t in A.select(*others).dtypes) + (", " if others else "")
+    kind = "".join(f"{c} {t}, " for c, t in [*A.select(*others).dtypes, *((c, "string") for c in carried)])
+    sources = {**{c: c for c in others}, **carried}
 
     def run(it):
         m = sent.value
@@ -253,7 +257,7 @@ def score_toxicity(annotations: DataFrame, model: Model, thresholds: dict | None
             out = np.empty(b.num_rows)
             for row, counts, ids in word_ids(b.column(b.schema.get_field_index("t"))):
                 out[row:row + len(counts)] = m.score(m.logits(*padded(counts, ids)))
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in others], pa.array(out)], [*others, "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in sources.values()], pa.array(out)], [*sources, "score"])
 
     S = A.mapInArrow(run, kind + "score double")
     cut = F.lit(CUT)

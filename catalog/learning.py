@@ -156,3 +156,121 @@ SELECT count(DISTINCT slide) AS slides, count(DISTINCT CASE WHEN label % 2 = 1 T
 def training_summary(spark, sf):
     E = b.expression(spark, sf).select("slide", F.col("label").alias("group"), (F.col("label") % 2).alias("label"))
     return tissue.training_summary(E)
+
+
+# --- what fits must satisfy, as facts SQL can state -------------------------------------
+
+def _far_from_own(points, column: str, labels):
+    """Points, clusters, points nearer to another cluster's mean than to their own, clusters larger than one before them."""
+    d = points.join(labels, ["slide", "patch_id"])
+    centres = d.select("label", F.posexplode(column).alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m")).groupBy("label").agg(
+        F.sort_array(F.collect_list(F.struct("i", "m"))).alias("c")).agg(F.collect_list(F.struct("label", "c")).alias("all"))
+    distance = lambda c: F.aggregate(F.zip_with(F.col(column), c, lambda v, m: (v - m["m"]) * (v - m["m"])), F.lit(0.0), lambda a, x: a + x)
+    near = F.array_min(F.transform("all", lambda k: distance(k["c"])))
+    own = distance(F.filter("all", lambda k: k["label"] == F.col("label"))[0]["c"])
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    wrong = sizes.alias("a").join(sizes.alias("b"), F.col("a.label") + 1 == F.col("b.label")).where("b.n > a.n").agg(F.count(F.lit(1)).alias("unordered"))
+    return d.join(centres).agg(
+        F.count(F.lit(1)).alias("points"), F.count_distinct("label").alias("clusters"), F.count_if(own > near + 1e-9).alias("misplaced")).join(wrong)
+
+
+@query("kmeans_facts", "SELECT count(*) AS points, 8::BIGINT AS clusters, 0::BIGINT AS misplaced, 0::BIGINT AS unordered FROM embeddings")
+def kmeans_facts(spark, sf):
+    """Every point lies nearest to the mean of its own cluster; clusters are numbered by size."""
+    emb = _emb(spark, sf)
+    found, _, _ = learn.kmeans(emb, 8, column="vec")
+    return _far_from_own(emb, "vec", found.select("slide", "patch_id", "label"))
+
+
+@query("discover_facts", "SELECT count(*) AS points, 6::BIGINT AS clusters, 0::BIGINT AS misplaced, 0::BIGINT AS unordered FROM embeddings")
+def discover_facts(spark, sf):
+    """The same for classes found among components."""
+    emb = _emb(spark, sf)
+    found, _ = learn.discover(emb, 6)
+    return _far_from_own(learn.pca_scores(emb).scores, "scores", found.select("slide", "patch_id", "label"))
+
+
+@query("pca_facts", """
+SELECT c.i::INT AS component, 0.0::DOUBLE AS mixed, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS share_off, true AS ordered
+FROM range(6) c(i), (SELECT DISTINCT len(embedding) AS d FROM embeddings LIMIT 1) WHERE c.i < d""")
+def pca_facts(spark, sf):
+    """Components are centred, unmixed, ordered by variance, and their shares are variance over total variance."""
+    c = learn.pca_scores(_emb(spark, sf), k=6)
+    s = c.scores.select("slide", "patch_id", F.col("scores").alias("s"), F.col("vec").alias("v"))
+    total = s.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.var_samp("x").alias("t")).agg(F.sum("t").alias("total"))
+    at = s.select("slide", "patch_id", F.posexplode("s").alias("i", "x"))
+    v = at.groupBy("i").agg(F.var_samp("x").alias("var"), F.avg("x").alias("mean"))
+    pairs = at.join(at.select("slide", "patch_id", F.col("i").alias("j"), F.col("x").alias("y")), ["slide", "patch_id"]).where("i <> j")
+    mixed = pairs.groupBy("i", "j").agg(F.abs(F.covar_samp("x", "y")).alias("c")).groupBy("i").agg(F.max("c").alias("mixed"))
+    share = spark.createDataFrame([(i, e) for i, e in enumerate(c.explained)], "i int, share double")
+    nxt = v.select((F.col("i") - 1).alias("i"), F.col("var").alias("after"))
+    d = v.join(mixed, "i").join(share, "i").join(nxt, "i", "left").join(total)
+    return d.select(
+        F.col("i").alias("component"), b.fixed(F.abs(F.round("mixed", 9)), 6).alias("mixed"), b.fixed(F.abs(F.round("mean", 9)), 6).alias("mean"),
+        b.fixed(F.abs(F.round(F.col("share") - F.col("var") / F.col("total"), 9)), 6).alias("share_off"),
+        F.coalesce(F.col("after") <= F.col("var"), F.lit(True)).alias("ordered"))
+
+
+@query("communities_facts", "SELECT count(*) AS nodes, true AS beats_labels, true AS numbered_by_size FROM embeddings")
+def communities_facts(spark, sf):
+    """The groups' modularity is at least that of the given labels, and group 0 is the largest."""
+    points_ = points(spark, sf)
+    edges = graph.knn_graph(points_, 15).cache()
+    found = graph.communities(edges).cache()
+    given = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    mine = graph.modularity(edges, found).select(F.col("modularity").alias("mine"))
+    theirs = graph.modularity(edges, given).select(F.col("modularity").alias("theirs"))
+    sizes = found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("nodes"), (F.max("n") == F.max(F.when(F.col("label") == 0, F.col("n")))).alias("numbered_by_size"))
+    return sizes.join(mine).join(theirs).select("nodes", (F.col("mine") >= F.col("theirs")).alias("beats_labels"), "numbered_by_size")
+
+
+def _fixed_head(d: int = 64) -> learn.LinearModel:
+    """A head whose weights follow a rule, so SQL can apply it too."""
+    weights = [[((c + 1) * (i % 5) - 4) / 8 for i in range(d)] for c in range(3)]
+    return learn.LinearModel("head", ["a", "b", "c"], weights, [0.0, 0.25, 0.5], [0.125] * d, [0.5] * d, {})
+
+
+@query("head_fixed", f"""
+WITH {b.LONG_SQL},
+l AS (SELECT slide, patch_id, c.i::INT AS class, c.i / 4.0 + sum((value - 0.125) / 0.5 * (((c.i + 1) * (gene_idx % 5) - 4) / 8.0)) AS z
+      FROM long, range(3) c(i) GROUP BY slide, patch_id, c.i)
+SELECT slide, patch_id, class, {r('exp(z) / sum(exp(z)) OVER (PARTITION BY slide, patch_id)')} AS prob FROM l""")
+def head_fixed(spark, sf):
+    """A head with known weights: softmax of its linear forms."""
+    E = b.expression(spark, sf).withColumnRenamed("values", "features")
+    return learn.predict_and_blend(_fixed_head(), E).select("slide", "patch_id", F.col("class").cast("int").alias("class"), b.fixed("prob").alias("prob"))
+
+
+@query("tissue_fixed", f"""
+WITH {b.LONG_SQL}
+SELECT slide, patch_id, {r('1 / (1 + exp(-(0.5 + sum((value - 0.125) / 0.5 * ((gene_idx % 5 - 2) / 8.0)))))')} AS prob
+FROM long GROUP BY slide, patch_id""")
+def tissue_fixed(spark, sf):
+    """A tissue model with known weights: sigmoid of its linear form."""
+    E = b.expression(spark, sf).withColumnRenamed("values", "features")
+    m = learn.LinearModel("tissue", ["artefact", "tissue"], [[(i % 5 - 2) / 8 for i in range(64)]], [0.5], [0.125] * 64, [0.5] * 64, {})
+    return learn.predict_tissue(m, E).select("slide", "patch_id", b.fixed("prob").alias("prob"))
+
+
+@query("head_gradient", """
+SELECT c.i::INT AS class, 0.0::DOUBLE AS steepest FROM range(3) c(i)""")
+def head_gradient(spark, sf):
+    """At the fit the objective is flat: per class, the steepest derivative over all weights is zero.
+
+    The objective is the class-balanced logistic loss plus the ridge on scaled weights;
+    every label is fitted (``refit``), so the sums run over all of them.
+    """
+    L = labelled(spark, sf)
+    m = learn.train_head(L, ["a", "b", "c"], 300.0, refit=True)
+    n = sum(m.samples.values())
+    weight = F.element_at(F.array(*[F.lit(n / (3 * m.samples[c])) for c in m.classes]), F.col("label") + 1)
+    scored = learn.predict_head(m, L).withColumn("w", weight)
+    z = scored.select("label", "w", "probs", F.posexplode(F.zip_with(
+        "features", F.array(*[F.struct(F.lit(a).alias("m"), F.lit(s).alias("s")) for a, s in zip(m.mean, m.scale)]), lambda v, k: (v - k["m"]) / k["s"])).alias("i", "x"))
+    z = z.select("label", "w", "i", "x", F.posexplode("probs").alias("class", "p"))
+    g = z.groupBy("class", "i").agg((F.sum(F.col("w") * (F.col("p") - (F.col("label") == F.col("class")).cast("int")) * F.col("x")) / n).alias("g"))
+    ridge = spark.createDataFrame([(c, i, float(v)) for c, row in enumerate(m.weights) for i, v in enumerate(row)], "class int, i int, v double")
+    l2 = learn.l2_for(len(m.mean), n)
+    return g.join(ridge, ["class", "i"]).groupBy("class").agg(
+        b.fixed(F.abs(F.round(F.max(F.abs(F.col("g") + F.lit(l2) * F.col("v"))), 3)), 3).alias("steepest")).select(F.col("class").cast("int").alias("class"), "steepest")

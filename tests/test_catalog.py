@@ -5,12 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+import catalog
 import oracle
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-# Iterative jobs without a twin; their results are tested on planted data.
-SLOW = {"communities", "tissue_model"}
 
 
 @pytest.fixture(scope="module")
@@ -18,10 +17,10 @@ def con():
     return oracle.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.load()[0]))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, SF)
-    sql = entry.oracle_sql().get(name)
+    df = catalog.load()[0][name](spark, SF)
+    sql = catalog.load()[1].get(name)
     if sql is None:
         assert df.count() > 0
     else:

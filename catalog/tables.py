@@ -48,9 +48,9 @@ e AS (SELECT path, length, regexp_extract(path, '([^/]*)$', 1) AS name, regexp_e
 m AS (SELECT e.path AS entry_path, f.length FROM e JOIN files f ON f.path = e.path
       OR (ext = 'mrxs' AND starts_with(f.path, base || '/')) OR (ext = 'vms' AND f.path <> e.path AND starts_with(f.path, base)))
 SELECT name, e.path AS entry_path, count(*) AS n_files, sum(m.length)::BIGINT AS bytes,
-       CASE WHEN ext = 'mrxs' AND count(*) = 1 THEN 'missing the data folder ' || regexp_extract(base, '([^/]*)$', 1) || '/'
-            WHEN ext = 'mrxs' THEN regexp_extract(base, '([^/]*)$', 1) || '/ has no Slidedat.ini; the slide may be incomplete'
-            WHEN ext = 'vms' AND count(*) = 1 THEN 'no companion files found' END AS warning
+       CASE WHEN ext = 'mrxs' AND count(*) = 1 THEN 'missing: folder ' || regexp_extract(base, '([^/]*)$', 1)
+            WHEN ext = 'mrxs' THEN 'missing: Slidedat.ini in ' || regexp_extract(base, '([^/]*)$', 1)
+            WHEN ext = 'vms' AND count(*) = 1 THEN 'only this file listed' END AS warning
 FROM e JOIN m ON m.entry_path = e.path GROUP BY name, e.path, ext, base""")
 def resolve_slides(spark, sf):
     return listing.resolve_slides(files(spark, sf))[0].select("name", "entry_path", "n_files", "bytes", "warning")

@@ -92,7 +92,7 @@ def anndata_tables(
         "obsm_spatial": E.select("slide", "patch_id", name, F.array(F.col("x") + half, F.col("y") + half).alias("spatial")),
     }
     uns = E.groupBy("slide").agg(F.max("side").cast("string").alias("patch_side_px")).withColumns({
-        "units": F.lit("level-0 slide pixels"), "provenance": F.lit("Predicted from images. Not a measurement.")})
+        "units": F.lit("level-0 slide pixels"), "provenance": F.lit("model output, unmeasured")})
     out["uns"] = uns if provenance is None else uns.join(provenance, "slide", "left")
     return out
 

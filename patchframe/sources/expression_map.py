@@ -39,12 +39,12 @@ def _open(path: str):
 def _header(f) -> tuple[dict, int]:
     head = f.read_at(12, 0)
     if len(head) < 12:
-        raise ValueError("too short to be an expression map")
+        raise ValueError(f"{len(head)} bytes: no room for magic and length")
     if head[:8] != MAGIC:
-        raise ValueError("not an expression map")
+        raise ValueError(f"magic is {head[:8]!r}")
     length = struct.unpack("<I", head[8:])[0]
     if 12 + length > f.size():
-        raise ValueError("the header is truncated")
+        raise ValueError(f"header ends at {12 + length}, file at {f.size()}")
     return json.loads(f.read_at(length, 12)), 12 + length
 
 
@@ -53,17 +53,17 @@ def _describe(path: str) -> dict:
         h, end = _header(f)
         rows, genes = len(h.get("patches") or []), len(h.get("genes") or [])
         if not rows or not genes:
-            raise ValueError("the header lists no patches or no genes")
+            raise ValueError(f"{rows} patches and {genes} genes in the header")
         dtype = h.get("dtype", "float16")
         if dtype not in DTYPES:
-            raise ValueError(f"unknown value type {dtype}")
+            raise ValueError(f"dtype {dtype} is none of {sorted(DTYPES)}")
         got = (f.size() - end) // np.dtype(DTYPES[dtype]).itemsize
         if got != rows * genes:
-            raise ValueError(f"the header describes {rows * genes} values, the file holds {got}")
+            raise ValueError(f"{rows} x {genes} values expected, {got} stored")
         if dtype == "uint8":
             for k in ("scale", "zero"):
                 if len(h.get(k) or []) != genes:
-                    raise ValueError(f"a uint8 map needs one {k} per gene: {len(h.get(k) or [])} for {genes}")
+                    raise ValueError(f"{k}: {len(h.get(k) or [])} entries for {genes} genes")
     shard = h.get("shard") or [None, None]
     return {
         "path": path, "slide": h.get("slide"), "side": h["side"], "dtype": dtype, "model": h.get("model"),

@@ -65,9 +65,9 @@ def resolve_slides(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     is_folder, is_prefix = F.col("ext").isin(*FOLDER_FORMATS), F.col("ext").isin(*PREFIX_FORMATS)
     alone = F.col("n_files") == 1
     warning = (
-        F.when(is_folder & alone, F.concat(F.lit("missing the data folder "), F.col("stem"), F.lit("/")))
-        .when(is_folder & F.col("__ini").isNull(), F.concat(F.col("stem"), F.lit("/ has no Slidedat.ini; the slide may be incomplete")))
-        .when(is_prefix & alone, F.lit("no companion files found"))
+        F.when(is_folder & alone, F.concat(F.lit("missing: folder "), F.col("stem")))
+        .when(is_folder & F.col("__ini").isNull(), F.concat(F.lit("missing: Slidedat.ini in "), F.col("stem")))
+        .when(is_prefix & alone, F.lit("only this file listed"))
     )
     slides = plain.join(totals, "entry_path").join(ini, "entry_path", "left").select(
         file_base("entry_path").alias("name"), "entry_path", "dir", "stem", "n_files", "bytes", warning.alias("warning"))

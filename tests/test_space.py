@@ -125,6 +125,20 @@ def test_outline_of_a_ring_of_cells(spark):
     assert len(coarse["rings"][0]) < len(t[0]["rings"][0])
 
 
+def test_holes_go_to_their_own_outline(spark):
+    m = np.zeros((14, 24), int)
+    m[1:12, 1:12] = 1
+    m[3:10, 3:10] = 0
+    m[5:8, 5:8] = 1  # an island in the hole, with a hole of its own
+    m[6, 6] = 0
+    m[1:8, 14:22] = 1
+    m[3, 16] = m[5, 18:20] = 0
+    # One group for all cells, so it has several outlines.
+    t = contour.trace_regions(mask_df(spark, m).filter("m = 1").withColumn("label", F.lit(1)), ["slide", "label"], 0.0, 0.0).collect()
+    got = sorted((r["minx"], r["maxx"], r["n_rings"]) for r in t)
+    assert got == [(0.5, 11.5, 2), (4.5, 7.5, 2), (13.5, 21.5, 3)]
+
+
 def painted(spark, w=160, h=120):
     a = np.full((h, w, 3), 240, int)
     a += np.arange(w * h).reshape(h, w, 1) % 3

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import batches, blank
 
 LOOKAHEAD = 3  # characters behind a match that can still decide where it ends
-CACHED = 200_000  # words whose ids a worker remembers; forgotten when full
+CACHED = 300_000  # words whose ids a worker remembers; forgotten when full
 _tables: dict = {}
 
 
@@ -34,15 +34,31 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
-def _table(raw: bytes) -> tuple[dict, list, dict]:
-    """Ranks, tokens by id and the word cache of this worker."""
+class _Words(dict):
+    """Ids of the words a worker has met, as bytes; emptied when full."""
+
+    def __init__(self, ranks: dict):
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("I", merge_word(word.encode(), self.ranks)).tobytes()
+        if len(word) < 40:
+            if len(self) >= CACHED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+def _table(raw: bytes) -> tuple[dict, list, _Words]:
+    """Ranks, tokens by id and the known words of this worker."""
     key = hashlib.sha256(raw).digest()
     if key not in _tables:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
         tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for t, r in ranks.items():
             tokens[r] = t
-        _tables[key] = (ranks, tokens, {})
+        _tables[key] = (ranks, tokens, _Words(ranks))
     return _tables[key]
 
 
@@ -51,6 +67,22 @@ def merge_word(word: bytes, ranks: dict) -> list[int]:
     if word in ranks:
         return [ranks[word]]
     n = len(word)
+    if n <= 32:  # few pairs: looking at all of them again is quicker than a heap
+        parts = [word[i:i + 1] for i in range(n)]
+        get, none = ranks.get, len(ranks) + (1 << 40)
+        pairs = [get(word[i:i + 2], none) for i in range(n - 1)]
+        while pairs:
+            low = min(pairs)
+            if low == none:
+                break
+            i = pairs.index(low)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+        return [ranks[p] for p in parts]
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, i) for i in range(n - 1) if (r := ranks.get(word[i:i + 2])) is not None]
     heapq.heapify(heap)
@@ -77,20 +109,11 @@ def _encode(texts: Iterable[str], raw: bytes, pattern: str, aheads: Iterable[str
 
     aheads    what follows each text: a match at its end may look at it
     """
-    ranks, _, cache = _table(raw)
+    _, _, known = _table(raw)
     find = regex.compile(pattern)
     for text, ahead in zip(texts, aheads) if aheads is not None else ((t, "") for t in texts):
-        ids = array("I")
-        for w in [m.group() for m in find.finditer(text + ahead) if m.start() < len(text)] if ahead else find.findall(text):
-            known = cache.get(w)
-            if known is None:
-                known = array("I", merge_word(w.encode(), ranks))
-                if len(w) < 40:
-                    if len(cache) >= CACHED:
-                        cache.clear()
-                    cache[w] = known
-            ids += known
-        yield ids.tobytes()
+        words = [m.group() for m in find.finditer(text + ahead) if m.start() < len(text)] if ahead else find.findall(text)
+        yield b"".join(map(known.__getitem__, words))
 
 
 def _cutter(chunk: int, overlap: int, schema: pa.Schema):

@@ -66,7 +66,7 @@ def _unit(M: np.ndarray):
     return ok, U / np.linalg.norm(U, axis=1)[:, None]
 
 
-def near_duplicate_patches(patches: DataFrame, threshold: float = 0.95, trees: int = 6, leaf: int = 512, spill: float = 0.5,
+def near_duplicate_patches(patches: DataFrame, threshold: float = 0.95, trees: int = 6, leaf: int = 512, spill: float = 0.35,
                            sample_values: int = 4_000_000, block: int = 2048, seed: int = 11, id: str = "patch_id", vec: str = "vec") -> DataFrame:
     """Which embedded patches repeat each other: ``id, n_links, component_id, kept``.
 

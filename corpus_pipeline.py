@@ -55,7 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of what they decode to."""
     long_texts(spark)
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    back = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, "doc_id", "text"), ranks, "doc_id")
+    back = bpe.encode(docs, ranks, public_tokenizers.PATTERN, "doc_id", "text", decoded=True)
     return back.select("doc_id", "n_tokens", "ids", F.sha2("body", 256).alias("decoded_sha256"))
 
 

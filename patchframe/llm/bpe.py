@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import batches, blank
 
 LOOKAHEAD = 3  # characters behind a match that can still decide where it ends
-CACHED = 300_000  # words whose ids a worker remembers; forgotten when full
+CACHED = 150_000  # words whose ids a worker remembers; forgotten when full
 _tables: dict = {}
 
 
@@ -152,13 +152,14 @@ def _seams(pattern: str, chunk: int, overlap: int, schema: pa.Schema):
 
 
 def encode(annotations: DataFrame, ranks: bytes, pattern: str, id: str = "id", text: str = "name",
-           chunk_chars: int = 32_768, overlap_chars: int = 1_024) -> DataFrame:
+           chunk_chars: int = 32_768, overlap_chars: int = 1_024, decoded: bool = False) -> DataFrame:
     """Token ids of each annotation's text: ``id, ids binary, n_tokens``.
 
     annotations    one row per annotation: its id and free text (``name``)
     ranks          content of a rank file, see :func:`read_ranks`
     pattern        expression whose matches are encoded one by one
     ids            the ids, little-endian unsigned 32-bit
+    decoded        also decode the ids where they are made: ``body``, as :func:`decode` gives
 
     A null or empty text has no ids.  Repeated rows and ids, also null ones, each keep
     their row; other columns are left out, whatever their names.  Texts over
@@ -169,15 +170,19 @@ def encode(annotations: DataFrame, ranks: bytes, pattern: str, id: str = "id", t
     T = annotations.select(F.col(id).alias("k"), blank(text).alias("t"))
     spark_type = dict(T.dtypes)["k"]
     idf = pa.field("k", _arrow(T.schema["k"].dataType))
-    one = pa.schema([idf, ("ids", pa.binary())])
+    one = pa.schema([idf, ("ids", pa.binary()), ("body", pa.binary())])
+    made = f"k {spark_type}, ids binary, body binary"
 
     def whole(it):
+        tokens = _table(ranks)[1]
+
         def rows():
             for b in it:
-                yield from zip(b.column(0).to_pylist(), _encode(b.column(1).to_pylist(), ranks, pattern))
+                for k, ids in zip(b.column(0).to_pylist(), _encode(b.column(1).to_pylist(), ranks, pattern)):
+                    yield k, ids, _decode(ids, tokens) if decoded else None
         yield from batches(one, rows())
 
-    plain = T.where(F.length("t") <= chunk_chars).mapInArrow(whole, f"k {spark_type}, ids binary")
+    plain = T.where(F.length("t") <= chunk_chars).mapInArrow(whole, made)
 
     cols = [idf, ("d", pa.binary()), ("copies", pa.int64()), ("no", pa.int32()), ("at", pa.int64()), ("last", pa.bool_()), ("part", pa.string())]
     kind = f"k {spark_type}, d binary, copies bigint, no int, at bigint, last boolean, part string"
@@ -215,21 +220,29 @@ def encode(annotations: DataFrame, ranks: bytes, pattern: str, id: str = "id", t
         yield from batches(coded, rows(), 500)
 
     def joined(it):
+        tokens = _table(ranks)[1]
+
         def rows():
             for b in it:
                 for k, copies, p in zip(*(c.to_pylist() for c in b.columns)):
                     ids = b"".join(x["ids"] for x in p)
+                    body = _decode(ids, tokens) if decoded else None
                     for _ in range(copies):
-                        yield k, ids
+                        yield k, ids, body
         yield from batches(one, rows(), 500)
 
     stitched = (
         pieces.mapInArrow(part, f"k {spark_type}, d binary, copies bigint, piece int, ids binary")
         .groupBy("k", "d").agg(F.max("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("p"))
-        .select("k", "copies", "p").mapInArrow(joined, f"k {spark_type}, ids binary")
+        .select("k", "copies", "p").mapInArrow(joined, made)
     )
     out = plain.unionByName(stitched)
-    return out.select(F.col("k").alias(id), "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
+    return out.select(F.col("k").alias(id), "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *(["body"] if decoded else []))
+
+
+def _decode(ids: bytes | None, tokens: list[bytes]) -> bytes:
+    """The tokens' bytes end to end."""
+    return b"".join(map(tokens.__getitem__, array("I", ids or b"")))
 
 
 def decode(encoded: DataFrame, ranks: bytes, id: str = "id") -> DataFrame:
@@ -241,12 +254,12 @@ def decode(encoded: DataFrame, ranks: bytes, id: str = "id") -> DataFrame:
     schema = pa.schema([("k", _arrow(T.schema["k"].dataType)), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("body", pa.binary())])
 
     def run(it):
-        _, tokens, _ = _table(ranks)
+        tokens = _table(ranks)[1]
 
         def rows():
             for b in it:
                 for k, ids, n in zip(*(c.to_pylist() for c in b.columns)):
-                    yield k, ids, n, b"".join([tokens[i] for i in array("I", ids or b"")])
+                    yield k, ids, n, _decode(ids, tokens)
         yield from batches(schema, rows())
 
     return T.mapInArrow(run, f"k {dict(T.dtypes)['k']}, ids binary, n_tokens bigint, body binary").withColumnRenamed("k", id)

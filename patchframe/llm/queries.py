@@ -30,7 +30,7 @@ def names(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    back = bpe.decode(bpe.encode(names(spark, sf), ranks, public_tokenizers.PATTERN), ranks)
+    back = bpe.encode(names(spark, sf), ranks, public_tokenizers.PATTERN, decoded=True)
     return back.select(
         F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("body", 256).alias("decoded_sha256"),
     )

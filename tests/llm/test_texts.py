@@ -46,6 +46,8 @@ def test_encoding_is_the_library_s_and_decodes(spark, ranks, plain, chunk, overl
     assert got.columns == ["id", "ids", "n_tokens", "body"]
     want = sorted((str(i), np.array(plain.encode_ordinary(t or ""), dtype="<u4").tobytes(), (t or "").encode()) for i, t in rows)
     assert sorted((str(r.id), bytes(r.ids), bytes(r.body)) for r in got.collect()) == want
+    both = bpe.encode(names(spark, rows), ranks, public_tokenizers.PATTERN, chunk_chars=chunk, overlap_chars=overlap, decoded=True)
+    assert sorted((str(r.id), bytes(r.ids), bytes(r.body)) for r in both.collect()) == want
 
 
 def test_encoding_nothing(spark, ranks):

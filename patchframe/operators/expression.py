@@ -85,16 +85,47 @@ def current_field(E, G, gene: str | None = None, signature: DataFrame | None = N
 
 
 def survey_genes(E: DataFrame) -> DataFrame:
-    """Mean, population sd, range and count per gene in one pass with map-side sums."""
-    v = F.col("value").cast("double")
-    return (
-        long_values(E)
-        .groupBy("slide", "gene_idx")
-        .agg(
-            F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"),
-            F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(F.lit(1)).alias("n"),
-        )
-    )
+    """Mean, population sd, range and count per gene in one pass, of any layout of a map.
+
+    Each task hands on one row per slide, gene and Arrow batch: count, mean, squared
+    deviations from it, least and greatest.  Those merge exactly; values are not exploded.
+    A missing value counts in ``n`` and nowhere else.
+    """
+
+    def survey(batches):
+        names = ["slide", "gene_idx", "rows", "n", "mean", "m2", "lo", "hi"]
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            slides, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            cuts = np.flatnonzero(slides[1:] != slides[:-1]) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(slides)]):
+                part = column.slice(lo, hi - lo)
+                if pa.types.is_binary(part.type) or pa.types.is_large_binary(part.type):
+                    block, there = _code_block(part).astype(np.float64), None
+                else:
+                    flat = part.flatten()
+                    there = np.asarray(flat.is_valid()).reshape(hi - lo, -1) if flat.null_count else None
+                    block = flat.fill_null(0).to_numpy(zero_copy_only=False).reshape(hi - lo, -1).astype(np.float64)
+                ok = np.ones(block.shape, bool) if there is None else there
+                n = ok.sum(axis=0)
+                mean = np.where(ok, block, 0).sum(axis=0) / np.maximum(n, 1)
+                m2 = np.where(ok, (block - mean) ** 2, 0).sum(axis=0)
+                ends = np.where(ok, block, np.inf).min(axis=0), np.where(ok, block, -np.inf).max(axis=0)
+                genes = np.arange(block.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([slides[lo]] * len(genes), pa.string()), pa.array(genes), pa.array(np.full(len(genes), hi - lo)), pa.array(n),
+                     pa.array(mean), pa.array(m2), *[pa.array(e, mask=n == 0) for e in ends]], names)
+
+    parts = E.select("slide", "values").where("values IS NOT NULL").mapInArrow(
+        survey, "slide string, gene_idx int, rows bigint, n bigint, mean double, m2 double, lo double, hi double")
+    # Chan's merge: a first mean, then deviations from it, so nothing cancels.
+    keys = ["slide", "gene_idx"]
+    g = parts.groupBy(*keys).agg(
+        F.sum("rows").alias("rows"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
+        F.sum("m2").alias("m2"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct("n", "mean")).alias("parts"))
+    apart = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))
+    return g.select(*keys, "mean", F.sqrt((F.col("m2") + apart) / F.col("n")).alias("sd"), "lo", "hi", F.col("rows").alias("n"))
 
 
 def is_coded(E: DataFrame) -> bool:

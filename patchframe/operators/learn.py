@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
@@ -312,15 +313,21 @@ def _argmax(probs: str):
 
 
 def predict_head(model: LinearModel, df: DataFrame, column: str = "features") -> DataFrame:
-    """Add ``probs``, one probability per class, as array expressions in the scan stage."""
-    ms = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in zip(model.mean, model.scale)])
-    z = F.zip_with(F.col(column).cast("array<double>"), ms, lambda v, p: (v - p.m) / p.s)
-    d = df.withColumn("__s", z)
-    wb = F.array(*[F.struct(F.array(*[F.lit(v) for v in w]).alias("w"), F.lit(b).alias("b"))
-                   for w, b in zip(model.weights, model.bias)])
-    logits = F.transform(wb, lambda c: c.b + F.aggregate(
-        F.zip_with("__s", c.w, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v))
-    return d.withColumn("__l", logits).withColumn("probs", softmax("__l")).drop("__s", "__l")
+    """Add ``probs``, one probability per class: a matrix product per Arrow batch, in the scan stage.
+
+    The weights go to the tasks with the function, not into the plan.
+    """
+    scale = np.array(model.scale)
+    weights = np.array(model.weights) / scale
+    bias = np.array(model.bias) - weights @ np.array(model.mean)
+
+    @F.pandas_udf("array<double>")
+    def logits(features: pd.Series) -> pd.Series:
+        if not len(features):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(np.stack(features.to_numpy()).astype(np.float64) @ weights.T + bias))
+
+    return df.withColumn("__l", logits(F.col(column).cast("array<double>"))).withColumn("probs", softmax("__l")).drop("__l")
 
 
 def train_tissue_model(samples: DataFrame, name: str, column: str = "features") -> LinearModel:

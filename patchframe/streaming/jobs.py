@@ -3,13 +3,11 @@ a run once it is whole, keep a document current from its edit log."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from patchframe.operators.learn import embed_patches
 from patchframe.operators.quantise import merge_shards
@@ -82,26 +80,12 @@ def shard_headers(rows: DataFrame, *keys: str) -> DataFrame:
         F.max("of").alias("of"), F.max("n_rows").alias("n_rows"), *[F.max(k).alias(k) for k in keys])
 
 
-STATE = "slide string, id string, seq bigint, op string, after string"
-
-
 def replay_stream(log: DataFrame) -> DataFrame:
     """Current state per annotation from a stream of edits (slide, id, seq, op, after as JSON).
 
     State per annotation is its newest entry, whatever order edits arrive in.  Emits
-    each change, removals too (op = removed); a sink keeps the newest row per id.
+    each annotation that a batch touched, removals too (op = removed); a sink keeps the
+    newest row per id.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        changed = False
-        for b in batches:
-            top = b.loc[b["seq"].idxmax()]
-            if best is None or top["seq"] > best[0]:
-                best, changed = (int(top["seq"]), top["op"], top["after"]), True
-        if changed:
-            state.update(best)
-            yield pd.DataFrame([(*key, *best)], columns=["slide", "id", "seq", "op", "after"])
-
-    return log.select("slide", "id", "seq", "op", "after").groupBy("slide", "id").applyInPandasWithState(
-        step, STATE, "seq bigint, op string, after string", "update", GroupStateTimeout.NoTimeout)
+    newest = F.max(F.struct("seq", "op", "after")).alias("__n")
+    return log.groupBy("slide", "id").agg(newest).select("slide", "id", "__n.*")

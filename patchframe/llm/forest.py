@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, stage
 from .union import components, local_roots
-from .vectors import matrix_groups, unpack
+from .vectors import matrix_groups
 
 
 class Tree:

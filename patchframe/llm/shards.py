@@ -24,10 +24,8 @@ def running(df: DataFrame, keys: list[str], order: list[Column], value: Column,
     part = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = df.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s")).withColumn("_o", F.coalesce(F.sum("_s").over(part), F.lit(0))).drop("_s")
     within = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    on = [df[k].eqNullSafe(offsets[k]) for k in [*keys, "_b"]]
     inner = df.withColumn("_w", F.coalesce(F.sum("_v").over(within), F.lit(0)))
     joined = inner.alias("l").join(offsets.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_b"]])
-    del on
     return joined.select("l.*", (F.col("_w") + F.col("_o")).alias(name)).drop("_v", "_b", "_w")
 
 

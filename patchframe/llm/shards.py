@@ -66,14 +66,18 @@ def place_linked(slides: DataFrame, n_shards: int = 40, rounds: int = 6, id: str
     keep = keep or []
     S = slides.select(F.col(id).alias("_id"), F.col(link).alias("_g"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     kept = [f"_k{i}" for i in range(len(keep))]
-    S = stage(S.withColumn("_h", F.xxhash64("_id", *kept)), "slides")
+    S = S.withColumn("_h", F.xxhash64("_id", *kept)).withColumn("_s", F.pmod("_h", F.lit(n_shards)).cast("int"))
+    S = stage(S, "slides")
     n = S.count()
     quota = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
     quotas = F.array(*map(F.lit, quota))
 
-    start = S.where("_g IS NOT NULL").groupBy("_g", F.pmod("_h", F.lit(n_shards)).cast("int").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    start = S.where("_g IS NOT NULL").groupBy("_g", F.col("_s").alias("s")).agg(F.count(F.lit(1)).alias("n"))
     whole = start.groupBy("_g").agg(F.sum("n").alias("all")).where("`all` > 1")
     state = stage(start.join(whole.select("_g"), "_g", "left_semi"), "parts")
+    # Rows look their group up by group and first shard, so a large group's rows stay spread.
+    pairs = state.select("_g", F.col("s").alias("_s"))
+    first = state
 
     for _ in range(rounds):
         load = {r.s: r.n for r in state.groupBy("s").agg(F.sum("n").alias("n")).collect()}
@@ -92,8 +96,9 @@ def place_linked(slides: DataFrame, n_shards: int = 40, rounds: int = 6, id: str
         moved = state.unionByName(granted.select("_g", "s", (-F.col("m")).alias("n"))).unionByName(granted.select("_g", F.col("t").alias("s"), F.col("m").alias("n")))
         new = stage(moved.groupBy("_g", "s").agg(F.sum("n").alias("n")).where("n > 0"), "parts")
         done = granted.isEmpty()
-        for old in (asks, granted, state):
-            drop_stage(old)
+        for old in (asks, granted, state if state is not first else None):
+            if old is not None:
+                drop_stage(old)
         state = new
         if done:
             break
@@ -119,10 +124,11 @@ def place_linked(slides: DataFrame, n_shards: int = 40, rounds: int = 6, id: str
         F.collect_list(F.struct("lo", (F.col("lo") + F.col("n")).alias("hi"), F.col("s").alias("shard"), "base")).alias("parts"))
     order = [F.col("_h"), F.col("_id"), *map(F.col, kept)]
     one = F.lit(1).cast("long")
-    linked = running(S.join(whole.select("_g"), "_g", "left_semi").select(S.columns), ["_g"], order, one, n, "rank").join(lists, "_g")
+    linked = running(S.join(pairs, ["_g", "_s"], "left_semi").select(S.columns), ["_g"], order, one, n, "rank")
+    linked = linked.join(pairs.join(lists, "_g"), ["_g", "_s"])
     linked = linked.withColumn("_i", _pick(F.col("parts"), F.col("rank")))
     linked = linked.select("_id", *kept, F.col("_i.shard").alias("shard"), (F.col("_i.base") + F.col("rank") - F.col("_i.lo")).alias("slot"))
-    alone = running(S.join(whole.select("_g"), "_g", "left_anti").select(S.columns), [], order, one, n, "rank")
+    alone = running(S.join(pairs, ["_g", "_s"], "left_anti").select(S.columns), [], order, one, n, "rank")
     alone = alone.withColumn("_i", _pick(_intervals([(s, quota[s] - load.get(s, 0)) for s in range(n_shards)]), F.col("rank")))
     loads = F.array(*[F.lit(load.get(s, 0)).cast("long") for s in range(n_shards)])
     alone = alone.select("_id", *kept, F.col("_i.shard").alias("shard"), (F.get(loads, F.col("_i.shard")) + F.col("rank") - F.col("_i.lo")).alias("slot"))

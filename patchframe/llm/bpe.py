@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import batches, blank
 
 LOOKAHEAD = 3  # characters behind a match that can still decide where it ends
-CACHED = 150_000  # words whose ids a worker remembers; forgotten when full
+CACHED = 150_000  # words whose ids a worker remembers, and as many from before
 _tables: dict = {}
 
 
@@ -35,16 +35,23 @@ def read_ranks(path: str) -> bytes:
 
 
 class _Words(dict):
-    """Ids of the words a worker has met, as bytes; emptied when full."""
+    """Ids of the words a worker has met, as bytes.
+
+    When full it starts anew and keeps what it had as a second chance, so words that come
+    again and again stay while rare ones go.
+    """
 
     def __init__(self, ranks: dict):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.before = ranks, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("I", merge_word(word.encode(), self.ranks)).tobytes()
+        ids = self.before.get(word)
+        if ids is None:
+            ids = array("I", merge_word(word.encode(), self.ranks)).tobytes()
         if len(word) < 40:
             if len(self) >= CACHED:
+                self.before = dict(self)
                 self.clear()
             self[word] = ids
         return ids

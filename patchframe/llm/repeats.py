@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stage
+from .common import batches, drop_stage, stage
 from .suffixes import suffix_array
 from .words import ODD, hashes, mix, text_chunks
 
@@ -493,12 +493,14 @@ def remove_repeats(annotations: DataFrame, length: int = 50, id: str = "id", tex
 
     asked = known.mapInArrow(_shared_map(length, buckets), PACK)
     shared = asked.groupBy("bucket").applyInArrow(_shared_find, PACK)
-    lists = stage(shared.groupBy("blk").applyInArrow(_shared_lists, "id bigint, shared binary"), "shared")
-    lists = stage(lists.groupBy("id").agg(F.collect_list("shared").alias("s")).select("id", F.aggregate(F.slice("s", 2, F.size("s")), F.col("s")[0], lambda a, x: F.concat(a, x)).alias("shared")), "shared")
+    parts = stage(shared.groupBy("blk").applyInArrow(_shared_lists, "id bigint, shared binary"), "shared")
+    lists = stage(parts.groupBy("id").agg(F.collect_list("shared").alias("s")).select("id", F.aggregate(F.slice("s", 2, F.size("s")), F.col("s")[0], lambda a, x: F.concat(a, x)).alias("shared")), "shared")
+    drop_stage(parts)
     pieces = known.join(lists, "id").select("id", "t", "shared")
     kind = "id bigint, bytes binary, at binary, pos binary, n binary, da binary"
     pieces = stage(pieces.mapInArrow(_pieces_map(length), kind), "pieces")
 
+    drop_stage(lists)
     few = max(16, math.ceil(buckets / 2))
     folded = pieces.mapInArrow(_fold_map(length, few), PACK).groupBy("bucket").applyInArrow(_fold_find(crowd), PACK)
     folded = folded.groupBy("blk").applyInArrow(_fold_lists, "id bigint, dup binary, fine binary")
@@ -507,6 +509,7 @@ def remove_repeats(annotations: DataFrame, length: int = 50, id: str = "id", tex
         "id", F.aggregate(F.slice("f", 2, F.size("f")), F.col("f")[0], lambda a, x: F.concat(a, x)).alias("fine"))
     strings = pieces.join(fine, "id").select("id", "bytes", "at", "pos", "n", "da", "fine").mapInArrow(_strings_map(length, few), PACK)
     sorted_ = stage(strings.groupBy("bucket").applyInArrow(_strings_find(length), "id bigint, dup binary"), "sorted")
+    drop_stage(pieces)
     dups = folded.where("dup IS NOT NULL").select("id", "dup").unionByName(sorted_).groupBy("id").agg(F.collect_list("dup").alias("dup"))
 
     def cut(it):

@@ -3,7 +3,8 @@
 Sets are split recursively on shared n-grams that a hash of the path picks: a set of
 size ``s`` follows each of its n-grams with chance 1 / (threshold * s), so two sets that
 reach the threshold share at least one child on average.  Small buckets are compared
-in full, large ones are split again, and independent runs repeat the search until the
+in full.  Large ones are split again on several n-grams a set, so that hardly any pair
+in one is lost however deep it lies, and independent runs repeat the search until the
 recall asked for.
 """
 
@@ -53,9 +54,17 @@ def ngram_sets(column: pa.Array, n: int):
         yield row, np.searchsorted(owner, np.arange(len(count) + 1)), g
 
 
-def _picked(g: np.ndarray, path: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
-    """Which n-grams a set of ``size`` follows from ``path`` on."""
-    odds = np.minimum(1.0, 1.0 / (threshold * size))
+#: N-grams that a pair at the threshold is expected to follow together from a large bucket on.
+DEEPER = 4
+
+
+def _picked(g: np.ndarray, path: np.ndarray, size: np.ndarray, threshold: float, used: int = 0, times: int = 1) -> np.ndarray:
+    """Which n-grams a set of ``size`` follows from ``path`` on, ``used`` of them being behind it.
+
+    Sets that reach the threshold have threshold * size n-grams in common, of which
+    ``times`` are expected to be picked.
+    """
+    odds = np.minimum(1.0, times / np.maximum(threshold * size - used, 1e-9))
     return mix(g ^ path) <= (odds * float(2**64 - 2049)).astype(np.uint64)
 
 
@@ -64,8 +73,15 @@ def _child(path: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 def runs_for(recall: float) -> int:
-    """Runs after which a pair at the threshold has met with at least this chance (a run misses it with 1 / e)."""
-    return max(1, math.ceil(-math.log(max(1 - recall, 1e-12))))
+    """Runs after which a pair at the threshold has been compared with at least this chance, at any depth.
+
+    A bucket that has to be split loses it with q = exp(-DEEPER * (1 - q)) at most, as its
+    children may be split too, and a run with exp(-(1 - q)).
+    """
+    q = 0.0
+    for _ in range(60):
+        q = math.exp(-DEEPER * (1 - q))
+    return max(1, math.ceil(-math.log(max(1 - recall, 1e-12)) / (1 - q)))
 
 
 def similar_texts(annotations: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9996, small: int = 48, block: int = 384,
@@ -79,12 +95,14 @@ def similar_texts(annotations: DataFrame, n: int = 5, threshold: float = 0.8, re
     Texts with equal sets are folded to one class and counted.  A class takes part in a
     bucket for each picked n-gram of each of ``runs_for(recall)`` runs.  A bucket of up
     to ``small`` classes is compared in full, once for all buckets with the same members.  A larger
-    one is split again on n-grams not yet in its path; where most of its classes follow
-    the same n-gram, more splitting cannot part them, and it is compared in pairs of
-    blocks of ``block`` classes.  Every comparison is exact.  A pair counts in the smallest
+    one is split again on n-grams not yet in its path, ``DEEPER`` of those that a pair at the
+    threshold shares; where most of its classes follow the same n-gram, more splitting
+    cannot part them, and it is compared in pairs of blocks of ``block`` classes.  So are
+    its classes whose path holds all that a pair has to share.  Every comparison is exact.  A pair counts in the smallest
     of the buckets that it shares, and a task hands on counts and a spanning forest.
 
-    So links are exact, and a pair at the threshold is missed with a chance of 1 - recall.
+    So links are exact, and a pair at the threshold is missed with a chance of 1 - recall,
+    whatever the size of its buckets (paths taken as independent).
     Texts without words, null ids and null texts link with nothing.  Repeated rows link with each other.  An
     empty table gives an empty result; other columns do not matter.
     """
@@ -151,7 +169,7 @@ def similar_texts(annotations: DataFrame, n: int = 5, threshold: float = 0.8, re
         T = made[0].join(large.groupBy("c").agg(F.collect_list(F.struct("key", "m", "used")).alias("paths")), "c")
 
         def split(it):
-            schema = pa.schema([("key", pa.int64()), ("m", pa.int64()), ("c", pa.binary()), ("child", pa.int64()), ("used", pa.list_(pa.int64()))])
+            schema = pa.schema([("key", pa.int64()), ("m", pa.int64()), ("c", pa.binary()), ("child", pa.int64()), ("used", pa.list_(pa.int64())), ("done", pa.bool_())])
 
             def rows():
                 for b in it:
@@ -159,22 +177,27 @@ def similar_texts(annotations: DataFrame, n: int = 5, threshold: float = 0.8, re
                         g = np.frombuffer(g, np.uint64)
                         for p in paths:
                             path = np.array([p["key"]], np.int64).view(np.uint64)
-                            used = np.array(p["used"], np.int64).view(np.uint64)
-                            k = g[_picked(g, path, np.array([len(g)]), threshold)]
+                            # A first bucket's key does not say its n-gram, but the set has it.
+                            used = np.array(p["used"], np.int64).view(np.uint64) if p["used"] else g[(_child(seeds[:, None], g) == path).any(axis=0)]
+                            behind = used.view(np.int64).tolist()
+                            if threshold * len(g) <= len(used) + 1e-9:  # a pair may have nothing more in common
+                                yield p["key"], p["m"], c, int(mix(~path).view(np.int64)[0]), behind, True
+                            k = g[_picked(g, path, np.array([len(g)]), threshold, len(used), DEEPER)]
                             for one in k[~np.isin(k, used)]:
-                                yield p["key"], p["m"], c, int(_child(path, one[None]).view(np.int64)[0]), [*p["used"], int(one.astype(np.int64))]
+                                yield p["key"], p["m"], c, int(_child(path, one[None]).view(np.int64)[0]), [*behind, int(one.astype(np.int64))], False
             yield from batches(schema, rows(), 5000)
 
-        E = stage(T.select("c", "g", "paths").mapInArrow(split, "key bigint, m bigint, c binary, child bigint, used array<bigint>"), "children")
+        E = stage(T.select("c", "g", "paths").mapInArrow(split, "key bigint, m bigint, c binary, child bigint, used array<bigint>, done boolean"), "children")
         of = E.groupBy("key", "m", "child").agg(F.count(F.lit(1)).alias("n"))
         top = of.groupBy("key").agg(F.max(F.col("n") / F.col("m")).alias("share"))
         # More than half of a bucket on one n-gram: it holds near copies, or as good as.
         dense = stage(top.where("share > 0.5").select("key"), "dense")
         leaves.append(large.join(dense, "key", "left_semi").select("key", "c", "m"))
         kids = E.join(dense, "key", "left_anti").join(of.where("n > 1").select("key", "child", "n"), ["key", "child"])
-        kids = stage(kids.select(F.col("child").alias("key"), "c", F.col("n").alias("m"), "used"), "members")
+        kids = stage(kids.select(F.col("child").alias("key"), "c", F.col("n").alias("m"), "used", "done"), "members")
         leaves.append(_same_lists(kids.where(F.col("m") <= small)))
-        large = kids.where(F.col("m") > small)
+        leaves.append(kids.where((F.col("m") > small) & F.col("done")).select("key", "c", "m"))
+        large = kids.where((F.col("m") > small) & ~F.col("done")).drop("done")
         drop_stage(E)
 
     L = leaves[0]

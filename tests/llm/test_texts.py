@@ -160,6 +160,15 @@ def test_similar_texts_against_all_pairs(spark, small, block):
     assert got == plain_links(rows, 5, 0.8)
 
 
+def test_similar_texts_of_large_buckets_are_not_lost(spark):
+    # Groups of four with 32 of 36 n-grams in common, each more than a bucket may hold unsplit.
+    rows = [(4 * k + i, " ".join([*(f"g{k}w{j}" for j in range(36)), *(f"g{k}i{i}x{j}" for j in range(4))])) for k in range(2000) for i in range(4)]
+    got = jaccard.similar_texts(names(spark, rows), 5, 0.8, small=3).collect()
+    assert len(got) == len(rows)
+    assert sum(r.n_links for r in got) >= 0.9996 * 3 * len(rows)
+    assert sum(r.component_id == r.id // 4 * 4 for r in got) >= 0.9996 * len(rows)
+
+
 def test_similar_repeated_rows_and_nothing(spark):
     got = jaccard.similar_texts(names(spark, [(5, "a b c d e f"), (5, "a b c d e f"), (4, "other words here in this one")])).collect()
     assert sorted((r.id, r.n_links, r.component_id) for r in got) == [(4, 0, 4), (5, 1, 5), (5, 1, 5)]

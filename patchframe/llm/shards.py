@@ -43,7 +43,7 @@ def _pick(intervals: Column, rank: Column) -> Column:
     return F.filter(intervals, lambda x: (x["lo"] <= rank) & (rank < x["hi"]))[0]
 
 
-def place_linked(slides: DataFrame, n_shards: int = 40, rounds: int = 6, id: str = "slide", link: str = "twin", keep: list[str] | None = None) -> DataFrame:
+def place_linked(slides: DataFrame, n_shards: int = 40, id: str = "slide", link: str = "twin", keep: list[str] | None = None) -> DataFrame:
     """Put slides into ``n_shards`` shards whose row counts differ by one at most: ``id, keep…, shard, slot``.
 
     slides   one row per slide (or document): its id and ``link``; rows with the same
@@ -55,7 +55,8 @@ def place_linked(slides: DataFrame, n_shards: int = 40, rounds: int = 6, id: str
     that lies in another shard than the group's largest part asks to move there; requests
     are granted in hash order up to what the shard's quota leaves for linked rows, the last
     in part.  Groups larger than a shard go on to their next largest part.  It stops when
-    no request is granted or after ``rounds``.  Unlinked rows then fill every shard up to
+    no request is granted; each grant leaves fewer linked pairs cut, as no part moves to a
+    smaller one, so the rounds end.  Unlinked rows then fill every shard up to
     its quota.  Work in the rounds is on counts per (group, shard), with a group's rows
     never together; ranks come from bounded buckets (:func:`running`), so a link that a
     third of all rows share is as spread as any.
@@ -79,7 +80,7 @@ def place_linked(slides: DataFrame, n_shards: int = 40, rounds: int = 6, id: str
     pairs = state.select("_g", F.col("s").alias("_s"))
     first = state
 
-    for _ in range(rounds):
+    while True:
         load = {r.s: r.n for r in state.groupBy("s").agg(F.sum("n").alias("n")).collect()}
         room = F.array(*[F.lit(max(0, quota[s] - load.get(s, 0))).cast("long") for s in range(n_shards)])
         # A group's goal is its largest part in a shard with room left.

@@ -161,6 +161,21 @@ def test_shards_are_even_and_keep_links_together(spark, monkeypatch, n, hot, buc
         assert len(groups["hot"]) <= 2 * (hot // max(1, n // 10)) + 2
 
 
+def test_shards_move_parts_until_none_is_granted(spark, monkeypatch):
+    left, real = [], shards.stage
+
+    def stage(df, name):
+        out = real(df, name)
+        if name in ("asks", "granted"):
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(shards, "stage", stage)
+    df = spark.createDataFrame([(i, f"g{i // 3}") for i in range(1800)], "slide long, twin string")
+    assert shards.place_linked(df, 30).count() == 1800
+    assert left[-1] == 0
+
+
 def test_running_sums(spark, monkeypatch):
     monkeypatch.setattr(shards, "BUCKET", 7)
     df = spark.range(100).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("k"))

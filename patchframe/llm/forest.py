@@ -14,6 +14,9 @@ from .union import components, local_roots
 from .vectors import matrix_groups
 
 
+LENGTHS = 1000  # vector lengths that get trees
+
+
 class Tree:
     """One tree: per inner node a direction, a threshold and two children (negative: leaf)."""
 
@@ -80,7 +83,7 @@ def near_duplicate_patches(patches: DataFrame, threshold: float = 0.95, trees: i
     vector is routed through all of them, both ways when it lies within ``spill`` standard
     deviations of a projected link of a threshold.  Vectors are compared within leaves,
     in pairs of blocks of about ``block`` rows, so a leaf of many near copies is many
-    tasks.  A pair that shares several leaves counts in the smallest only; a block pair
+    tasks.  Lengths beyond the first LENGTHS have no trees and are one leaf each.  A pair that shares several leaves counts in the smallest only; a block pair
     hands on counts and a spanning forest of its links, never the links themselves.
     Links of a pair at the threshold are missed with a small probability (recall is
     measured in the tests); none below the threshold is reported.
@@ -99,7 +102,7 @@ def near_duplicate_patches(patches: DataFrame, threshold: float = 0.95, trees: i
     usable = F.col("id").isNotNull() & F.col("v").isNotNull() & F.exists("v", lambda x: x != 0) & F.forall(
         "v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
     folded = stage(P.where(F.coalesce(usable, F.lit(False))).groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "folded")
-    dims = [r.d for r in folded.select(F.size("v").alias("d")).distinct().limit(1000).collect()]
+    dims = [r.d for r in folded.select(F.size("v").alias("d")).distinct().limit(LENGTHS).collect()]
     n = folded.count()
 
     forest: dict = {}
@@ -127,7 +130,8 @@ def near_duplicate_patches(patches: DataFrame, threshold: float = 0.95, trees: i
                 for d, at, M in matrix_groups(b.column(0)):
                     ok, U = _unit(M)
                     at = at[ok]
-                    pairs = [(r, leaf + start) for start, tree in forest[d] for r, leaf in [tree.route(U)]]
+                    # A length without trees is one leaf, compared in block pairs as any.
+                    pairs = [(r, leaf + start) for start, tree in forest[d] for r, leaf in [tree.route(U)]] if d in forest else [(np.arange(len(U)), np.full(len(U), -d))]
                     r, leaves = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
                     o = np.lexsort((leaves, r))
                     r, leaves = r[o], leaves[o]

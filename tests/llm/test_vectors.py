@@ -111,6 +111,13 @@ def test_near_duplicates_of_repeated_rows_and_nothing(spark):
     assert forest.near_duplicate_patches(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_lengths_without_trees(spark, monkeypatch):
+    monkeypatch.setattr(forest, "LENGTHS", 1)
+    rows = [(10 * d + i, [1.0] * (d - 1) + [1.0 + i / 100]) for d in range(2, 8) for i in range(3)]
+    got = {r.patch_id: (r.n_links, r.component_id) for r in forest.near_duplicate_patches(patches(spark, rows)).collect()}
+    assert got == {i: (2, i // 10 * 10) for i, _ in rows}
+
+
 # --- components -------------------------------------------------------------------------------
 
 def test_components_of_paths_stars_and_noise(spark):

@@ -32,6 +32,20 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)", "$1")
 
 
+def _apart(kinds: Column, rendered: Column) -> Column:
+    """Rendered parts, a backslash before a text that forms a control string with the texts it directly follows."""
+    most = max(map(len, CONTROL)) - 1
+    any_control = "|".join(map(re.escape, CONTROL))
+    pairs = F.arrays_zip(kinds.alias("kind"), rendered.alias("s"))
+
+    def step(a: Column, x: Column) -> Column:
+        s = F.when((x["kind"] == "text") & F.concat(a["tail"], x["s"]).rlike(any_control), F.concat(F.lit("\\"), x["s"])).otherwise(x["s"])
+        tail = F.when(x["kind"] == "text", F.right(F.concat(a["tail"], s), F.lit(most))).otherwise(F.lit(""))
+        return F.struct(F.concat(a["s"], F.array(s)).alias("s"), tail.alias("tail"))
+
+    return F.aggregate(pairs, F.struct(F.array().cast("array<string>").alias("s"), F.lit("").alias("tail")), step)["s"]
+
+
 def text_part(text: Column) -> Column:
     """The parts of a turn that is one text."""
     none = F.lit(None).cast("string")
@@ -64,7 +78,7 @@ def format_turns(turns: DataFrame, id: str = "conv_id", turn: str = "turn", role
     )
     rendered = F.transform("p", lambda x: F.when(x["kind"] == "text", escape(F.coalesce(x["text"], F.lit("")))).otherwise(
         F.coalesce(known[x["kind"]], F.raise_error(F.concat(F.lit("chat: unknown kind of part "), F.coalesce(x["kind"], F.lit("null")))).cast("string"))))
-    T = T.withColumn("s", rendered).withColumn("head", F.concat(F.lit(BEGIN + OPEN), escape(F.col("r")), F.lit(CLOSE)))
+    T = T.withColumn("s", rendered).withColumn("s", F.when(F.size("p") > 1, _apart(F.transform("p", lambda x: x["kind"]), F.col("s"))).otherwise(F.col("s"))).withColumn("head", F.concat(F.lit(BEGIN + OPEN), escape(F.col("r")), F.lit(CLOSE)))
     # Start of each part within its turn, by a running sum over the (few) parts of one turn.
     T = T.withColumn("at", F.aggregate("s", F.array(F.length("head")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x)))))
     T = T.withColumn("body", F.concat("head", F.array_join("s", ""), F.lit(END))).withColumn("n", F.length("body"))

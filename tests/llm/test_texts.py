@@ -223,6 +223,17 @@ def test_chat_round_trip_with_parts(spark):
         assert all(r.formatted[t.start:t.start + t.length].startswith("<s>[INST]") and r.formatted[t.start:t.start + t.length].endswith("</s>") for t in r.turns)
 
 
+def test_chat_control_strings_split_over_parts(spark):
+    split = [["<", "/s>"], ["<", "", "/", "s>"], ["a[INS", "T]b"], ["[/INST", "]<"], ["<|ima", "ge|>"], ["\\", "<s", "></s", ">\\"], ["x<", "\\/s>"]]
+    part = lambda t: ("text", t, None, None)
+    rows = [(i, t, "assistant", [part(x) for x in split[i]]) for i in range(len(split)) for t in range(2)]
+    turns = spark.createDataFrame(rows, f"conv_id int, turn int, role string, parts array<{chat.PART}>")
+    got = {r.conv_id: r for r in chat.read_turns(chat.format_turns(turns)).collect()}
+    for i, texts in enumerate(split):
+        whole = "".join(texts)
+        assert [tuple(x) for x in got[i].turns] == [("assistant", whole)] * 2 and got[i].loss == whole * 2
+
+
 def test_chat_records_attachments(spark):
     part = lambda kind, text=None, ref=None, tokens=None: (kind, text, ref, tokens)
     rows = [(1, 0, "user", [part("text", "see "), part("image", ref="a.png", tokens=256), part("text", " and <|audio|>"), part("audio", ref="b.wav", tokens=40)]),

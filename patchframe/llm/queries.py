@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, bpe, chat, forest, jaccard, mixing, repeats, shards, topk, toxicity
+from . import archive, bpe, chat, forest, jaccard, licences, middle, mixing, negatives, repeats, shards, topk, toxicity
 from .common import long_texts
 
 QUERIES: dict = {}
@@ -164,3 +164,103 @@ def op2_repeats(spark: SparkSession, sf: str) -> DataFrame:
     cut = repeats.remove_repeats(names(spark, sf), 50)
     return cut.select(
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    E = table(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    patches = E.select(F.col("vec_id").alias("patch_id"), moved.alias("class_id"), F.col("embedding").alias("vec"))
+    found = negatives.hard_negatives(patches, F.col("patch_id") % 100 == 0, key=["patch_id"])
+    return found.select(
+        F.col("anchor_patch_id").alias("anchor_id"), F.col("positive_patch_id").alias("positive_id"), "rank",
+        F.col("negative_patch_id").alias("negative_id"), "positive_score", "negative_score",
+    )
+
+
+ORACLES["op11_negatives"] = """
+WITH c AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+      FROM c AS a JOIN c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+       s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
+@query
+def op12_middle(spark: SparkSession, sf: str) -> DataFrame:
+    moved = middle.move_middle(names(spark, sf), seed=1, key=["id"])
+    back = middle.restore_middle(moved)
+    return back.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op12_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS x FROM documents),
+h AS (SELECT *, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+o AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+"""
+
+
+@query
+def op13_licences(spark: SparkSession, sf: str) -> DataFrame:
+    found = licences.scan_licences(names(spark, sf), key=["id"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
+def _licence_sql() -> str:
+    """Phrases by position in the list of words; templates as regular expressions over the words."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def pattern(template: str) -> str:
+        out = " "
+        for kind, what in licences.regions(template):
+            if kind == "any":
+                out += f"(?:[^ ]+ ){{{what[0]},{what[1]}}}"
+            else:
+                run = " ".join(what) + " "
+                out += run if kind == "words" else f"(?:{run})?"
+        return out
+
+    phrases = [(licences.words(p), label) for p, label in licences.PHRASES.items()]
+    templates = [(label, pattern(t), sum(len(w) for k, w in licences.regions(t) if k == "words")) for label, t in licences.TEMPLATES]
+    places = ", ".join(f"list_filter(range(len(w)), lambda i: w[i + 1:i + {len(p)}] = [{', '.join(map(quoted, p))}])" for p, _ in phrases)
+    base = ", ".join(f"CASE WHEN len(spot[{k}]) > 0 THEN {quoted(label)} END" for k, (_, label) in enumerate(phrases, 1))
+    more = ", ".join(f"CASE WHEN hit[{k}] THEN {quoted(label)} END" for k, (label, _, _) in enumerate(templates, 1))
+    hits = ", ".join(f"regexp_matches(line, {quoted(p)})" for _, p, _ in templates)
+    counts = [f"CASE WHEN len(spot[{k}]) > 0 THEN {len(p)} ELSE 0 END" for k, (p, _) in enumerate(phrases, 1)]
+    counts += [f"CASE WHEN hit[{k}] THEN {n} ELSE 0 END" for k, (_, _, n) in enumerate(templates, 1)]
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+l AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d),
+f AS (SELECT doc_id, w, [{places}] AS spot, [{hits}] AS hit FROM l),
+g AS (SELECT *, list_distinct(list_filter([{base}], lambda x: x IS NOT NULL)) AS b, list_filter([{more}], lambda x: x IS NOT NULL) AS m FROM f)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(flatten(spot))::BIGINT AS n_base, list_min(flatten(spot)) AS first_word, list_max(flatten(spot)) AS last_word,
+       array_to_string(list_sort(b), ',') AS base_labels, array_to_string(list_sort(list_distinct(b || m)), ',') AS labels,
+       least(1.0, greatest({', '.join(counts)}) / 20.0)::DOUBLE AS score
+FROM g
+"""
+
+
+ORACLES["op13_licences"] = _licence_sql()

@@ -1,9 +1,11 @@
 """Connected components, growth and holes on cell masks.
 
-All three are one operation: a key per cell that moves to neighbouring cells and
-keeps its minimum.  Each round settles every tile of 256 x 256 cells on its own and
-then hands border keys to the neighbouring tiles, so the number of rounds is the
-number of tile borders a shape crosses and not its length in cells.
+Cells are shuffled once, into tiles of 256 x 256: a row per tile, its cells packed.
+From then on only borders travel.  Components come from the tiles' own labels and a
+graph of label pairs that touch across a border, solved apart from the cells.  Growth
+settles the tiles whose surroundings changed, against the border keys of their
+neighbours, until none changes.  Either way the cells are written twice, the packed
+tiles and the result, however far a shape winds.
 """
 
 from __future__ import annotations
@@ -13,33 +15,52 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TILE = 256
 NONE = np.iinfo(np.int64).max
 DISTANCE = 1 << 40
 LABEL_MASK = DISTANCE - 1
+ROW = 1 << 20  # scan positions per row of cells
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the shared checkpoint folder and read it back.
+def stage_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    A written table is computed once, survives lost executors, and is planned with its
-    real size.  The folder is the one the cluster names in ``spark.checkpoint.dir``;
-    only a local session without one gets a temporary folder.
+    Only a local session without one gets a temporary folder.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="patchframe-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="patchframe-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    A written table is computed once, survives lost executors, and is planned with its
+    real size.
+    """
+    path = f"{stage_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stage_path = path
+    return back
+
+
+def drop_stage(*tables: DataFrame | None) -> None:
+    """Delete the files of tables made by :func:`cut_lineage` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "stage_path", None)
+        if path:
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _settle(grid: np.ndarray, open_: np.ndarray, step: int) -> np.ndarray:
@@ -82,77 +103,108 @@ def _run_minimum(grid: np.ndarray, open_: np.ndarray) -> np.ndarray:
     return grid
 
 
-def _round(cells: DataFrame, step: int, tile: int, halo: bool) -> DataFrame:
-    """One round: settle each tile, after the first together with its neighbours' border keys."""
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        x0, y0 = int(pdf["tx"].iloc[0]) * tile - 1, int(pdf["ty"].iloc[0]) * tile - 1
-        grid = np.full((tile + 2, tile + 2), NONE, np.int64)
-        open_ = np.zeros((tile + 2, tile + 2), bool)
-        gx, gy = pdf["x"].to_numpy() - x0, pdf["y"].to_numpy() - y0
-        grid[gy, gx] = pdf["key"].to_numpy()
-        own = ~pdf["halo"].to_numpy()
-        open_[gy[own], gx[own]] = True
-        settled = _settle(grid, open_, step)
-        return pd.DataFrame(
-            {
-                "slide": pdf["slide"].to_numpy()[own], "x": pdf["x"].to_numpy()[own],
-                "y": pdf["y"].to_numpy()[own], "key": settled[gy[own], gx[own]],
-            }
-        )
+TILE_KEY = ["slide", "tx", "ty"]
+PACKED = "slide string, tx int, ty int, pos binary, key binary"
+BORDER = "slide string, tx int, ty int, x int, y int, key bigint"
 
-    tx, ty = F.floor(F.col("x") / tile).cast("int"), F.floor(F.col("y") / tile).cast("int")
-    on = lambda c, edge: F.pmod(F.col(c), F.lit(tile)) == edge
-    own = cells.withColumns({"tx": tx, "ty": ty}).withColumn("halo", F.lit(False))
-    schema = "slide string, x int, y int, key bigint"
-    if not halo:
-        return own.groupBy("slide", "tx", "ty").applyInPandas(settle, schema)
-    sides = F.filter(
-        F.array(
-            F.when(on("x", 0), F.struct((tx - 1).alias("tx"), ty.alias("ty"))),
-            F.when(on("x", tile - 1), F.struct((tx + 1).alias("tx"), ty.alias("ty"))),
-            F.when(on("y", 0), F.struct(tx.alias("tx"), (ty - 1).alias("ty"))),
-            F.when(on("y", tile - 1), F.struct(tx.alias("tx"), (ty + 1).alias("ty"))),
-        ),
-        lambda s: s.isNotNull(),
-    )
-    border = (
-        cells.filter((F.col("key") < NONE) & (on("x", 0) | on("x", tile - 1) | on("y", 0) | on("y", tile - 1)))
-        .withColumn("s", F.explode(sides))
-        .select("slide", "x", "y", "key", F.col("s.tx").alias("tx"), F.col("s.ty").alias("ty"), F.lit(True).alias("halo"))
-    )
-    return (
-        own.unionByName(border)
-        .groupBy("slide", "tx", "ty")
-        .applyInPandas(settle, schema)
-    )
 
-
-def _unsettled(cells: DataFrame, step: int, tile: int) -> bool:
-    """Is there a tile border across which a key would still move?"""
-    open_x = F.pmod(F.col("x"), F.lit(tile)) == tile - 1
-    open_y = F.pmod(F.col("y"), F.lit(tile)) == tile - 1
-    k = F.col("key")
-    near = cells.filter((open_x | open_y) | (F.pmod("x", F.lit(tile)) == 0) | (F.pmod("y", F.lit(tile)) == 0))
-    pairs = near.filter(open_x).select("slide", (F.col("x") + 1).alias("x"), "y", k.alias("other")).unionByName(
-        near.filter(open_y).select("slide", "x", (F.col("y") + 1).alias("y"), k.alias("other"))
-    )
-    far = lambda a, b: (F.col(a) < NONE) & (F.col(b) > F.col(a) + step)
-    return not pairs.join(near, ["slide", "x", "y"]).filter(far("other", "key") | far("key", "other")).isEmpty()
+def _grid(pos: np.ndarray, key: np.ndarray, tile: int, halo=None, tx: int = 0, ty: int = 0):
+    """A tile's keys and open cells within a frame one cell wide, which holds the neighbours' border keys."""
+    grid = np.full((tile + 2, tile + 2), NONE, np.int64)
+    open_ = np.zeros((tile + 2, tile + 2), bool)
+    gy, gx = pos // tile + 1, pos % tile + 1
+    grid[gy, gx] = key
+    open_[gy, gx] = True
+    for h in halo if halo is not None else ():
+        grid[h["y"] - ty * tile + 1, h["x"] - tx * tile + 1] = h["key"]
+    return grid, open_, gy, gx
 
 
-def spread(cells: DataFrame, step: int = 0, tile: int = TILE, max_rounds: int = 10_000) -> DataFrame:
-    """Settle keys (``slide, x, y, key``; ``NONE`` where nothing has arrived)."""
-    cells = cells.select("slide", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "key")
-    for i in range(max_rounds):
-        cells = cut_lineage(_round(cells, step, tile, halo=i > 0))
-        if not _unsettled(cells, step, tile):
-            return cells
-    raise RuntimeError("labels did not settle")
-
+def pack_tiles(cells: DataFrame, step: int, tile: int) -> DataFrame:
+    """One row per tile: positions and keys of its cells, settled on their own.  The one shuffle of cells."""
+    tx, ty = F.floor(F.col("x") / tile).cast("int"), F.floor(F.col("y") / tile).cast("int")
 
-def _scan_key(extra: int = 0):
-    return F.col("y").cast("bigint") * (1 << 20) + F.col("x") + extra
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
+        pos = (pdf["y"].to_numpy() - y0 * tile) * tile + pdf["x"].to_numpy() - x0 * tile
+        grid, open_, gy, gx = _grid(pos, pdf["key"].to_numpy(), tile)
+        key = _settle(grid, open_, step)[gy, gx]
+        return pd.DataFrame({"slide": [pdf["slide"].iloc[0]], "tx": np.int32([x0]), "ty": np.int32([y0]),
+                             "pos": [pos.astype(np.uint32).tobytes()], "key": [key.astype(np.int64).tobytes()]})
+
+    own = cells.select("slide", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "key", tx.alias("tx"), ty.alias("ty"))
+    return own.groupBy(*TILE_KEY).applyInPandas(pack, PACKED)
+
+
+def _unpacked(make, tile: int):
+    """For ``mapInPandas``: rows that ``make(tile row, positions, keys)`` gives for each packed tile."""
+    def run(batches):
+        for b in batches:
+            for r in b.to_dict("records"):
+                pos, key = np.frombuffer(r["pos"], np.uint32).astype(np.int64), np.frombuffer(r["key"], np.int64)
+                pos, key = make(r, pos, key)
+                yield pd.DataFrame({
+                    "slide": r["slide"], "tx": np.int32(r["tx"]), "ty": np.int32(r["ty"]),
+                    "x": (pos % tile + r["tx"] * tile).astype(np.int32), "y": (pos // tile + r["ty"] * tile).astype(np.int32), "key": key,
+                })
+    return run
+
+
+def _edge_of(pos: np.ndarray, key: np.ndarray, tile: int):
+    x, y = pos % tile, pos // tile
+    on = (x == 0) | (y == 0) | (x == tile - 1) | (y == tile - 1)
+    return pos[on], key[on]
+
+
+def _borders(tiles: DataFrame, tile: int) -> DataFrame:
+    """The cells on the tiles' borders, about a sixtieth of all."""
+    return tiles.mapInPandas(_unpacked(lambda r, pos, key: _edge_of(pos, key, tile), tile), BORDER)
+
+
+def _across(border: DataFrame, tile: int) -> DataFrame:
+    """Border cells as the neighbouring tiles see them: ``tx, ty`` is the neighbour, ``nx, ny`` its cell that touches."""
+    x, y, tx, ty = (F.col(c) for c in ("x", "y", "tx", "ty"))
+    side = lambda on, dx, dy: F.when(on, F.struct((tx + dx).alias("tx"), (ty + dy).alias("ty"), (x + dx).alias("nx"), (y + dy).alias("ny")))
+    sides = F.filter(F.array(
+        side(F.pmod(x, F.lit(tile)) == 0, -1, 0), side(F.pmod(x, F.lit(tile)) == tile - 1, 1, 0),
+        side(F.pmod(y, F.lit(tile)) == 0, 0, -1), side(F.pmod(y, F.lit(tile)) == tile - 1, 0, 1),
+    ), lambda s: s.isNotNull())
+    return border.withColumn("s", F.explode(sides)).select(
+        "slide", "x", "y", "key", F.col("s.tx").alias("tx"), F.col("s.ty").alias("ty"), F.col("s.nx").alias("nx"), F.col("s.ny").alias("ny"))
+
+
+def linked_roots(links: DataFrame) -> DataFrame:
+    """``slide, v, root``: the smallest vertex that each vertex of ``links (slide, a, b)`` reaches.
+
+    Every round vertices point to their smallest neighbour, pointers are followed twice and
+    the graph is contracted, so a path loses three of four vertices a round.  Minima have
+    map-side combine and look-ups join on a unique side.
+    """
+    E = cut_lineage(links.filter("a <> b").select("slide", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
+    while not E.isEmpty():
+        ends = E.unionByName(E.select("slide", F.col("b").alias("a"), F.col("a").alias("b")))
+        P = cut_lineage(ends.groupBy("slide", "a").agg(F.min("b").alias("p")).select("slide", F.col("a").alias("v"), F.least("a", "p").alias("p")))
+        up = P.select("slide", F.col("v").alias("p"), F.col("p").alias("q"))
+        J = P
+        for _ in range(2):
+            J = J.join(up, ["slide", "p"]).select("slide", "v", F.col("q").alias("p"))
+        J = cut_lineage(J)
+        old = labels
+        if old is None:
+            labels = cut_lineage(J.select("slide", "v", F.col("p").alias("root")))
+        else:
+            labels = cut_lineage(old.join(J.select("slide", F.col("v").alias("root"), "p"), ["slide", "root"], "left").select(
+                "slide", "v", F.coalesce("p", "root").alias("root")))
+        a, b = (J.select("slide", F.col("v").alias(c), F.col("p").alias(f"p{c}")) for c in "ab")
+        rest = cut_lineage(E.join(a, ["slide", "a"]).join(b, ["slide", "b"]).filter("pa <> pb").select(
+            "slide", F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        drop_stage(P, J, old, E)
+        E = rest
+    if labels is None:
+        return E.select("slide", F.col("a").alias("v"), F.col("b").alias("root"))
+    drop_stage(E)
+    return labels
 
 
 def label_components(M: DataFrame, tile: int = TILE) -> DataFrame:
@@ -161,8 +213,31 @@ def label_components(M: DataFrame, tile: int = TILE) -> DataFrame:
     ``label`` is the scan position of a component's first cell, so ids do not depend
     on partitioning.
     """
-    on = M.filter("m = 1").select("slide", "x", "y", _scan_key().alias("key"))
-    return spread(on, 0, tile).withColumnRenamed("key", "label")
+    key = F.col("y").cast("bigint") * ROW + F.col("x")
+    tiles = cut_lineage(pack_tiles(M.filter("m = 1").select("slide", "x", "y", key.alias("key")), 0, tile))
+    border = cut_lineage(_borders(tiles, tile))
+    own = border.select("slide", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("key").alias("b"))
+    met = _across(border, tile).join(own, ["slide", "nx", "ny"]).select("slide", F.col("key").alias("a"), "b")
+    roots = linked_roots(met)
+    # A label says where it lies, so each tile gets the new names of its own labels only.
+    at = lambda n: F.floor(n / tile).cast("int")
+    names = roots.filter("v <> root").groupBy(
+        "slide", at(F.col("v") % ROW).alias("tx"), at(F.floor(F.col("v") / ROW)).alias("ty")
+    ).agg(F.collect_list(F.struct("v", "root")).alias("names"))
+
+    def rename(r, pos, key):
+        if r["names"] is None or not len(r["names"]):
+            return pos, key
+        old, new = (np.array([x[c] for x in r["names"]], np.int64) for c in ("v", "root"))
+        order = np.argsort(old)
+        at = np.minimum(np.searchsorted(old, key, sorter=order), len(old) - 1)
+        hit = old[order][at] == key
+        return pos, np.where(hit, new[order][at], key)
+
+    cells = tiles.join(names, TILE_KEY, "left").mapInPandas(_unpacked(rename, tile), BORDER)
+    done = cut_lineage(cells.select("slide", "x", "y", F.col("key").alias("label")))
+    drop_stage(tiles, border, roots)
+    return done
 
 
 def component_stats(L: DataFrame) -> DataFrame:
@@ -172,6 +247,42 @@ def component_stats(L: DataFrame) -> DataFrame:
     )
 
 
+def grow_keys(cells: DataFrame, step: int, tile: int = TILE) -> DataFrame:
+    """Smallest key + ``step`` x moves that reaches each cell (``slide, x, y, key``; ``NONE`` where there is none yet).
+
+    A round looks at borders only, finds the tiles that a neighbour's key would change, and
+    settles those again from their own packed cells and all keys around them.
+    """
+    tiles = cut_lineage(pack_tiles(cells, step, tile))
+    border = cut_lineage(_borders(tiles, tile))
+
+    def settled(edge_only: bool):
+        def make(r, pos, key):
+            halo = r["halo"] if r["halo"] is not None else ()
+            grid, open_, gy, gx = _grid(pos, key, tile, halo, r["tx"], r["ty"])
+            key = _settle(grid, open_, step)[gy, gx]
+            return _edge_of(pos, key, tile) if edge_only else (pos, key)
+        return _unpacked(make, tile)
+
+    def around(border):
+        near = _across(border.filter(F.col("key") < NONE), tile)
+        return near, near.groupBy(*TILE_KEY).agg(F.collect_list(F.struct("x", "y", "key")).alias("halo"))
+
+    while True:
+        near, halo = around(border)
+        own = border.select("slide", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("key").alias("own"))
+        active = cut_lineage(near.join(own, ["slide", "nx", "ny"]).filter(F.col("own") - step > F.col("key")).select(*TILE_KEY).distinct())
+        if active.isEmpty():
+            break
+        again = tiles.join(halo.join(active, TILE_KEY), TILE_KEY).mapInPandas(settled(True), BORDER)
+        new = cut_lineage(border.join(active, TILE_KEY, "left_anti").unionByName(again))
+        drop_stage(border, active)
+        border = new
+    done = cut_lineage(tiles.join(halo, TILE_KEY, "left").mapInPandas(settled(False), BORDER).select("slide", "x", "y", "key"))
+    drop_stage(tiles, border, active)
+    return done
+
+
 def hysteresis_grow(seeds: DataFrame, weak: DataFrame, tile: int = TILE) -> DataFrame:
     """Grow labelled seed cells into weak cells, ring by ring.
 
@@ -180,7 +291,7 @@ def hysteresis_grow(seeds: DataFrame, weak: DataFrame, tile: int = TILE) -> Data
     """
     s = seeds.select("slide", "x", "y", F.col("label").alias("key"))
     w = weak.filter("m = 1").select("slide", "x", "y").join(s, ["slide", "x", "y"], "left_anti")
-    grown = spread(s.unionByName(w.withColumn("key", F.lit(int(NONE)))), DISTANCE, tile)
+    grown = grow_keys(s.unionByName(w.withColumn("key", F.lit(int(NONE)))), DISTANCE, tile)
     return grown.filter(F.col("key") < NONE).select(
         "slide", "x", "y", F.col("key").bitwiseAND(F.lit(LABEL_MASK)).alias("label")
     )

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +70,55 @@ def test_a_spiral_is_one_component_across_tiles(spark):
     assert sorted(r["cells"] for r in got) == sorted(flood(m)[1])
 
 
+def test_cells_are_written_twice_whatever_the_shape(spark, monkeypatch):
+    """A snake through many tiles: packed tiles and the result are all that holds every cell, and stages go."""
+    m = np.zeros((9, 12), int)
+    m[::2] = 1
+    m[1::4, 11] = 1
+    m[3::4, 0] = 1
+    sizes, made, real, gone = [], [], cc.cut_lineage, cc.drop_stage
+
+    def cut(df):
+        out = real(df)
+        sizes.append(sum(len(r["pos"]) // 4 for r in out.select("pos").collect()) if "pos" in out.columns else out.count())
+        made.append(out)
+        return out
+
+    monkeypatch.setattr(cc, "cut_lineage", cut)
+    L = cc.label_components(mask_df(spark, m), 6)
+    assert L.select("label").distinct().count() == 1 and L.count() == m.sum()
+    assert sum(n == m.sum() for n in sizes) == 2
+    sizes.clear()
+    seeds = mask_df(spark, m).filter("x = 0 AND y = 0").select("slide", "x", "y", F.lit(0).cast("bigint").alias("label"))
+    grown = cc.hysteresis_grow(seeds, mask_df(spark, m), 6)
+    assert grown.count() == m.sum() and sum(n == m.sum() for n in sizes) == 2
+    left = [d for d in made if os.path.exists(d.stage_path)]
+    assert len(left) == 2
+
+
+@pytest.mark.parametrize("tile", [4, 16])
+def test_growth_equals_rings(spark, tile):
+    rng = np.random.default_rng(tile)
+    weak = (rng.random((30, 34)) < 0.72).astype(int)
+    seeds = [(int(y), int(x)) for y, x in zip(*np.nonzero(weak)) if rng.random() < 0.01]
+    label = np.full(weak.shape, 1 << 30)
+    for k, (y, x) in enumerate(seeds):
+        label[y, x] = k
+    front = list(seeds)
+    while front:
+        reached = {}
+        for y, x in front:
+            for a, c in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                if 0 <= a < 30 and 0 <= c < 34 and weak[a, c] and label[a, c] == 1 << 30:
+                    reached[a, c] = min(reached.get((a, c), 1 << 30), label[y, x])
+        for at, k in reached.items():
+            label[at] = k
+        front = list(reached)
+    s = spark.createDataFrame([("s", x, y, k) for k, (y, x) in enumerate(seeds)], "slide string, x int, y int, label long")
+    got = {(r["y"], r["x"]): r["label"] for r in cc.hysteresis_grow(s, mask_df(spark, weak), tile).collect()}
+    assert got == {(y, x): int(label[y, x]) for y, x in zip(*np.nonzero(label < 1 << 30))}
+
+
 @pytest.mark.parametrize("tile", [4, 64])
 def test_growth_keeps_fragments_apart(spark, tile):
     m = np.zeros((9, 21), int)

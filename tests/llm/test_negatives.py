@@ -80,7 +80,7 @@ def test_very_large_numbers(spark):
     assert len(want) and all(max(r[7:]) >= 2**63 for r in want)
     # All scores are beyond a long and count as the largest one, so ids alone decide.
     assert {clip(r)[7:] for r in map(tuple, got.collect())} == {(2**63 - 1, 2**63 - 1)}
-    small = [(s, i, c, [x / 16 for x in v]) for s, i, c, v in rows]
+    small = [(s, i, c, [x / 256 for x in v]) for s, i, c, v in rows]
     got = negatives.hard_negatives(patches(spark, small), F.col("patch_id") < 4)
     assert sorted(map(tuple, got.collect())) == plain_negatives(small, lambda a: a[1] < 4)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from patchframe.operators import graph, learn, tissue
+from patchframe.operators import components, graph, learn, tissue
 
 from . import base as b
 from . import raster as cells
@@ -211,18 +211,34 @@ def pca_facts(spark, sf):
         F.coalesce(F.col("after") <= F.col("var"), F.lit(True)).alias("ordered"))
 
 
-@query("communities_facts", "SELECT count(*) AS nodes, true AS beats_labels, true AS numbered_by_size FROM embeddings")
+@query("communities_facts", """
+SELECT count(*) AS nodes, true AS beats_labels, true AS numbered_by_size, true AS connected, 0::BIGINT AS better_moves FROM embeddings""")
 def communities_facts(spark, sf):
-    """The groups' modularity is at least that of the given labels, and group 0 is the largest."""
-    points_ = points(spark, sf)
-    edges = graph.knn_graph(points_, 15).cache()
-    found = graph.communities(edges).cache()
+    """What holds for the groups: at least the modularity of the given labels, group 0 the largest, every group
+    connected, and no node whose move to another group, or out on its own, would raise modularity."""
+    edges = components.cut_lineage(graph.knn_graph(points(spark, sf), 15))
+    found = components.cut_lineage(graph.communities(edges))
     given = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label")
     mine = graph.modularity(edges, found).select(F.col("modularity").alias("mine"))
     theirs = graph.modularity(edges, given).select(F.col("modularity").alias("theirs"))
     sizes = found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum("n").alias("nodes"), (F.max("n") == F.max(F.when(F.col("label") == 0, F.col("n")))).alias("numbered_by_size"))
-    return sizes.join(mine).join(theirs).select("nodes", (F.col("mine") >= F.col("theirs")).alias("beats_labels"), "numbered_by_size")
+        F.sum("n").alias("nodes"), F.count(F.lit(1)).alias("groups"), (F.max("n") == F.max(F.when(F.col("label") == 0, F.col("n")))).alias("numbered_by_size"))
+    of = lambda c: found.select(F.col("id").alias(c), F.col("label").alias("l" + c))
+    both = edges.join(of("src"), "src").join(of("dst"), "dst")
+    roots = components.linked_roots(both.where("lsrc = ldst").select(F.lit("").alias("slide"), F.col("src").alias("a"), F.col("dst").alias("b")))
+    parts = found.join(roots.select(F.col("v").alias("id"), "root"), "id", "left").agg(F.count_distinct(F.coalesce("root", "id")).alias("parts"))
+    # Gain of every node in every group it has a link to, and alone, against where it is.
+    ends = both.select(F.col("src").alias("id"), F.col("lsrc").alias("own"), F.col("ldst").alias("label"), "w").unionByName(
+        both.select(F.col("dst").alias("id"), F.col("ldst").alias("own"), F.col("lsrc").alias("label"), "w"))
+    k = ends.groupBy("id", "own").agg(F.sum("w").alias("s"))
+    total, m2 = k.groupBy(F.col("own").alias("label")).agg(F.sum("s").alias("tot")), k.agg(F.sum("s").alias("m2"))
+    links = ends.groupBy("id", "label").agg(F.sum("w").alias("k")).unionByName(k.select("id", F.col("own").alias("label"), F.lit(0.0).alias("k")))
+    links = links.groupBy("id", "label").agg(F.sum("k").alias("k")).join(k, "id").join(total, "label").join(m2)
+    gain = F.col("k") - F.col("s") * (F.col("tot") - F.when(F.col("label") == F.col("own"), F.col("s")).otherwise(0.0)) / F.col("m2")
+    best = links.groupBy("id").agg(F.max(F.when(F.col("label") == F.col("own"), gain)).alias("now"), F.greatest(F.lit(0.0), F.max(gain)).alias("top"))
+    better = best.agg(F.count_if(F.col("top") > F.col("now") + 1e-6).alias("better_moves"))
+    return sizes.join(mine).join(theirs).join(parts).join(better).select(
+        "nodes", (F.col("mine") >= F.col("theirs")).alias("beats_labels"), "numbered_by_size", (F.col("parts") == F.col("groups")).alias("connected"), "better_moves")
 
 
 def _fixed_head(d: int = 64) -> learn.LinearModel:

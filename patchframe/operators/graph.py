@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import cut_lineage
+from .components import cut_lineage, drop_stage, linked_roots
+from .stats import positions
 
 MAX_PIVOTS = 256
 BLOCK = 4096
@@ -193,82 +197,284 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
         (F.col("inside") / m2 - resolution * F.col("s2") / (m2 * m2)).alias("modularity"))
 
 
-def _move(edges: DataFrame, comm: DataFrame, strength: DataFrame, m2: float, resolution: float, turn: int, share: int) -> DataFrame:
-    """One synchronous pass: one in ``share`` nodes goes to the neighbouring group that gains most."""
-    two = _both_ways(edges.filter("src <> dst"))
-    links = two.join(comm.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("w").alias("k_in"))
-    tot = comm.join(strength, "id").groupBy("label").agg(F.sum("s").alias("tot"))
-    own = comm.join(strength, "id").select(F.col("id").alias("src"), F.col("label").alias("old"), "s")
-    stay = own.select("src", F.col("old").alias("label"), F.lit(0.0).alias("k_in"))
-    options = links.unionByName(stay).groupBy("src", "label").agg(F.sum("k_in").alias("k_in"))
-    mine = F.when(F.col("label") == F.col("old"), F.col("s")).otherwise(0.0)
-    gain = F.col("k_in") - resolution * F.col("s") * (F.col("tot") - mine) / m2
-    best = (
-        options.join(own, "src").join(tot, "label")
-        .withColumn("gain", F.round(gain, 9))
-        .groupBy("src", "old")
-        .agg(
-            F.max_by("label", F.struct("gain", (F.col("label") == F.col("old")).alias("stay"), -F.col("label"))).alias("to"),
-            F.max("gain").alias("top"), F.max(F.when(F.col("label") == F.col("old"), F.col("gain"))).alias("now"),
-        )
-    )
-    unhappy = (F.col("to") != F.col("old")) & (F.col("top") > F.col("now"))
-    turn_of = F.pmod(F.xxhash64("src", F.lit(turn)), F.lit(share)) == 0
-    return best.select(
-        F.col("src").alias("id"), F.when(turn_of & unhappy, F.col("to")).otherwise(F.col("old")).alias("label"),
-        unhappy.alias("unhappy"), (turn_of & unhappy).alias("moved"),
-    )
+HUB = 20_000  # links of a node that is no longer handled within a block
+EPS = 1e-9
+
 
+def _cut(nodes: DataFrame, total: float, keys: list, limit: int) -> DataFrame:
+    """``block`` of every node (``id, deg``): about ``limit`` links, by one key after the other where a block has more."""
+    parts = max(1, -(-int(total) // limit))
+    d = nodes.withColumn("block", F.pmod(F.xxhash64(*keys[0]), F.lit(parts)).cast("string"))
+    for key in keys[1:] if parts > 1 else []:
+        heavy = d.groupBy("block").agg(F.ceil(F.sum("deg") / limit).alias("__p")).filter("__p > 1")
+        d = d.join(heavy, "block", "left").withColumn("block", F.when(F.col("__p").isNull(), F.col("block")).otherwise(
+            F.concat_ws("/", "block", F.pmod(F.xxhash64(*key), F.col("__p")).cast("string")))).drop("__p")
+    return d
 
-def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 1) -> DataFrame:
-    """Groups that raise modularity, 0 the largest: local moves, then contraction.
 
-    Moves are joins over the whole graph at once; a hashed part of the nodes moves per
-    round, half of them at first.  A round that does not raise modularity is taken back
-    and fewer nodes move in the next; a node alone that wants to move always raises it.
-    So a level ends when no node gains by moving, and the whole when contraction leaves
-    nothing to move.  Judge the result by its modularity, not by its labels.
+def _csr(pdf: pd.DataFrame):
+    """Nodes of a block, where each one's links start, and for each link the node it leads to (-1: outside)."""
+    pdf = pdf.sort_values(["src", "dst"], kind="stable")
+    ids, first = np.unique(pdf["src"].to_numpy(), return_index=True)
+    dst = pdf["dst"].to_numpy()
+    at = np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
+    return pdf, ids, [*first.tolist(), len(pdf)], np.where(ids[at] == dst, at, -1).tolist()
+
+
+def _sweep(pdf: pd.DataFrame, m2: float, resolution: float, turn: int, share: int) -> pd.DataFrame:
+    """Move the nodes of one block, one after the other, until none gains; nodes outside stay as they are.
+
+    A block whose turn it is not only says how many of its nodes would move.
     """
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    result = nodes.select("id", F.col("id").alias("label"))
-    level = cut_lineage(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
-    m2 = 2.0 * (level.agg(F.sum("w")).first()[0] or 0.0)
-    turn = seed
-    while True:
-        ends = level.select(F.col("src").alias("id"), "w").unionByName(level.select(F.col("dst").alias("id"), "w"))
-        strength = cut_lineage(ends.groupBy("id").agg(F.sum("w").alias("s")))
-        comm = strength.select("id", F.col("id").alias("label"))
-        quality = modularity(level, comm, resolution).first()[0]
-        share = 2
-        while m2:
-            tried = cut_lineage(_move(level, comm, strength, m2, resolution, turn, share))
+    block = pdf["block"].iloc[0]
+    active = share == 1 or zlib.crc32(f"{block}:{turn}".encode()) % share == 0
+    pdf, ids, first, to = _csr(pdf)
+    head = pdf.iloc[first[:-1]]
+    label, s = head["sl"].tolist(), head["s"].tolist()
+    far, w = pdf["dl"].tolist(), pdf["w"].tolist()
+    total = dict(zip(pdf["sl"], pdf["st"])) | dict(zip(pdf["dl"], pdf["dt"]))
+    start, unhappy, again = list(label), 0, True
+    while again:
+        again = False
+        for i in range(len(ids)):
+            links: dict = {}
+            for e in range(first[i], first[i + 1]):
+                j = to[e]
+                x = label[j] if j >= 0 else far[e]
+                links[x] = links.get(x, 0.0) + w[e]
+            old, f = label[i], resolution * s[i] / m2
+            now = links.pop(old, 0.0) - f * (total[old] - s[i])
+            best, top = 2 * int(ids[i]) + 1, 0.0  # alone
+            for x, k in links.items():
+                g = k - f * total[x]
+                if g > top + EPS or (g > top - EPS and g > EPS and x < best):
+                    best, top = x, max(g, top)
+            if top > now + EPS and best != old:
+                if not active:
+                    unhappy += 1
+                    continue
+                total[old] -= s[i]
+                total[best] = total.get(best, 0.0) + s[i]
+                label[i] = best
+                again = True
+    moved = sum(a != b for a, b in zip(start, label))
+    return pd.DataFrame({"id": ids, "label": label, "block": block, "unhappy": np.int64(unhappy + moved) * (np.arange(len(ids)) == 0), "moved": np.array(start) != np.array(label)})
+
+
+def _hub_moves(two: DataFrame, own: DataFrame, total: DataFrame, m2: float, resolution: float, turn: int, share: int) -> DataFrame:
+    """What :func:`_sweep` does, for nodes with very many links: their links are summed per group where they lie."""
+    links = two.join(own.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("w").alias("k"))
+    me = own.join(two.select(F.col("src").alias("id")).distinct(), "id").select(F.col("id").alias("src"), F.col("label").alias("old"), "s")
+    alone = me.select("src", (F.col("src") * 2 + 1).alias("label"), F.lit(0.0).alias("k"))
+    stay = me.select("src", F.col("old").alias("label"), F.lit(0.0).alias("k"))
+    options = links.unionByName(alone).unionByName(stay).groupBy("src", "label").agg(F.sum("k").alias("k")).join(me, "src").join(total, "label", "left")
+    rest = F.coalesce("tot", F.lit(0.0)) - F.when(F.col("label") == F.col("old"), F.col("s")).otherwise(0.0)
+    gain = F.round(F.col("k") - resolution * F.col("s") * rest / m2, 9)
+    best = options.withColumn("gain", gain).groupBy("src", "old").agg(
+        F.max_by("label", F.struct("gain", -F.col("label"))).alias("to"), F.max("gain").alias("top"),
+        F.max(F.when(F.col("label") == F.col("old"), F.col("gain"))).alias("now"))
+    unhappy = F.col("top") > F.col("now")
+    moves = unhappy & (F.pmod(F.xxhash64("src", F.lit(turn)), F.lit(share)) == 0)
+    return best.select(F.col("src").alias("id"), F.when(moves, F.col("to")).otherwise(F.col("old")).alias("label"),
+                       F.concat(F.lit("hub "), F.col("src").cast("string")).alias("block"), unhappy.cast("bigint").alias("unhappy"), moves.alias("moved"))
+
+
+def _one(step):
+    """``step`` as a function of the rows of a group alone, which is all ``applyInPandas`` takes."""
+    return lambda pdf: step(pdf)
+
+
+class _Level:
+    """A graph of one level: its links, both ways without loops, and the strength and degree of its nodes."""
+
+    def __init__(self, edges: DataFrame, m2: float, resolution: float, limit: int):
+        self.edges, self.m2, self.resolution, self.limit = edges, m2, resolution, limit
+        self.two = _both_ways(edges.filter("src <> dst"))
+        ends = edges.select(F.col("src").alias("id"), "w").unionByName(edges.select(F.col("dst").alias("id"), "w"))
+        links = self.two.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg"), F.min("dst").alias("near"))
+        self.nodes = cut_lineage(ends.groupBy("id").agg(F.sum("w").alias("s")).join(links, "id", "left").select(
+            "id", "s", F.coalesce("deg", F.lit(0)).alias("deg"), F.least("id", "near").alias("near")))
+        size = self.nodes.agg(F.count(F.lit(1)).alias("n"), F.sum("deg").alias("e"), F.max("deg").alias("top")).first()
+        self.n, self.links, self.hubs = size["n"], size["e"] or 0, (size["top"] or 0) > HUB
+
+    def drop(self) -> None:
+        drop_stage(self.edges, self.nodes)
+
+    def _labelled(self, comm: DataFrame):
+        own = self.nodes.join(comm, "id")
+        total = own.groupBy("label").agg(F.sum("s").alias("tot"))
+        return own, total
+
+    def settle(self, comm: DataFrame, turn: int) -> tuple[DataFrame, bool]:
+        """Move single nodes until none gains: blocks of nodes at a time, a round is taken back if modularity does not rise."""
+        if not self.links:
+            return comm, False
+        placed = self.nodes.filter((F.col("deg") > 0) & (F.col("deg") <= HUB)).select("id", "deg", "near")
+        one = not self.hubs and self.links <= self.limit
+        placed = placed.select("id", F.lit("0").alias("block")) if one else cut_lineage(
+            _cut(placed, self.links, [["near"], ["id"]], self.limit).select("id", "block"))
+        share, quality, changed = 1 if one else 2, None, False
+        m2, resolution = self.m2, self.resolution
+        while True:
+            own, total = self._labelled(comm)
+            at = own.join(total, "label").select("id", "label", "s", "tot")
+            rows = (
+                self.two.join(at.select(F.col("id").alias("dst"), F.col("label").alias("dl"), F.col("tot").alias("dt")), "dst")
+                .join(at.join(placed, "id").select(F.col("id").alias("src"), F.col("label").alias("sl"), "s", F.col("tot").alias("st"), "block"), "src")
+            )
+            step = partial(_sweep, m2=m2, resolution=resolution, turn=turn, share=share)
+            moves = rows.groupBy("block").applyInPandas(_one(step), "id bigint, label bigint, block string, unhappy bigint, moved boolean")
+            if self.hubs:
+                hub = self.two.join(self.nodes.filter(F.col("deg") > HUB).select(F.col("id").alias("src")), "src")
+                moves = moves.unionByName(_hub_moves(hub, own, total, m2, resolution, turn, share))
+            # Nodes without links stay where they are.
+            tried = cut_lineage(comm.join(moves.withColumnRenamed("label", "new"), "id", "left").select(
+                "id", F.coalesce("new", "label").alias("label"), "block", F.coalesce("unhappy", F.lit(0)).alias("unhappy"), F.coalesce("moved", F.lit(False)).alias("moved")))
             turn += 1
-            counts = tried.agg(F.count_if("unhappy").alias("u"), F.count_if("moved").alias("m")).first()
-            if not counts["u"]:
-                break
-            if not counts["m"]:
-                share = max(1, share // 2)  # the hash picked none of the few that want to
+            c = tried.agg(F.sum("unhappy").alias("u"), F.count_if("moved").alias("m"), F.count_distinct(F.when(F.col("moved"), F.col("block"))).alias("b")).first()
+            if one:
+                return tried.select("id", "label"), c["m"] > 0
+            if not c["u"]:
+                drop_stage(placed, tried)
+                return comm, changed
+            if not c["m"]:
+                share = max(1, share // 2)  # none of those that would move had its turn
+                drop_stage(tried)
                 continue
-            reached = modularity(level, tried, resolution).first()[0]
+            if quality is None:
+                quality = modularity(self.edges, comm, resolution).first()[0]
+            reached = modularity(self.edges, tried, resolution).first()[0]
             if reached > quality:
-                comm, quality = tried.select("id", "label"), reached
+                comm, quality, changed = tried.select("id", "label"), reached, True
                 share = max(2, share // 2)
-            elif counts["m"] == 1:
-                break  # a gain too small for doubles to show
+            elif c["b"] == 1:
+                drop_stage(placed)
+                return comm, changed  # a gain too small for doubles to show
             else:
                 share *= 2
-        if comm.filter(F.col("id") != F.col("label")).isEmpty():
-            break
-        result = cut_lineage(
-            result.join(comm.select(F.col("id").alias("label"), F.col("label").alias("next")), "label").select(
-                "id", F.col("next").alias("label"))
+                drop_stage(tried)
+
+    def refine(self, comm: DataFrame) -> DataFrame:
+        """``id, ref``: each group split into parts that are connected and well linked to the rest of the group.
+
+        Starting alone, a node that is well linked to its group joins the part of it that
+        gains most, if that part is well linked too.  Links within the whole group decide
+        what is well linked; parts grow within blocks, whole groups where they fit one.
+        """
+        own, total = self._labelled(comm)
+        both = own.select("id", "label")
+        inner = (
+            self.two.join(both.select(F.col("id").alias("dst"), F.col("label").alias("dl")), "dst")
+            .join(both.select(F.col("id").alias("src"), "label"), "src").filter(F.col("label") == F.col("dl"))
         )
-        a = comm.select(F.col("id").alias("src"), F.col("label").alias("a"))
-        b = comm.select(F.col("id").alias("dst"), F.col("label").alias("b"))
-        level = cut_lineage(
-            level.join(a, "src").join(b, "dst")
-            .groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("w").alias("w"))
+        ext = inner.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("ext"))
+        at = cut_lineage(_cut(own, self.links, [["label"], ["label", "near"], ["id"]], self.limit).join(total, "label").join(ext, "id").select(
+            "id", "s", "tot", "ext", "block"))
+        rows = (
+            inner.select("src", "dst", "w", "label")
+            .join(at.select(F.col("id").alias("dst"), F.col("block").alias("db")), "dst")
+            .join(at.withColumnRenamed("id", "src"), "src").filter(F.col("block") == F.col("db")).drop("db")
         )
-    sizes = result.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    order = sizes.withColumn("new", F.row_number().over(W.orderBy(F.desc("n"), "label")) - 1)
-    return result.join(order, "label").select("id", F.col("new").alias("label"))
+        step = partial(_parts, m2=self.m2, resolution=self.resolution)
+        found = rows.groupBy("block").applyInPandas(_one(step), "id bigint, ref bigint")
+        done = cut_lineage(self.nodes.join(found, "id", "left").select("id", F.coalesce("ref", "id").alias("ref")))
+        drop_stage(at)
+        return done
+
+    def contract(self, ref: DataFrame, comm: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links and groups of the graph whose nodes are the parts."""
+        a, b = (ref.select(F.col("id").alias(c), F.col("ref").alias(f"r{c}")) for c in ("src", "dst"))
+        edges = self.edges.join(a, "src").join(b, "dst").groupBy(
+            F.least("rsrc", "rdst").alias("src"), F.greatest("rsrc", "rdst").alias("dst")).agg(F.sum("w").alias("w"))
+        groups = comm.join(ref, "id").groupBy(F.col("ref").alias("id")).agg(F.first("label").alias("label"))
+        return cut_lineage(edges), cut_lineage(groups)
+
+
+def _parts(pdf: pd.DataFrame, m2: float, resolution: float) -> pd.DataFrame:
+    """Refinement of the groups within one block."""
+    pdf, ids, first, to = _csr(pdf)
+    head = pdf.iloc[first[:-1]]
+    s, tot, ext = head["s"].tolist(), head["tot"].tolist(), head["ext"].tolist()
+    w = pdf["w"].tolist()
+    part, size = list(range(len(ids))), [1] * len(ids)
+    weight, out = list(s), list(ext)  # of each part: strength, links to the rest of its group
+    well = lambda p, all_: out[p] >= resolution * weight[p] * (all_ - weight[p]) / m2 - EPS
+    for i in range(len(ids)):
+        if part[i] != i or size[i] > 1 or not well(i, tot[i]):
+            continue
+        links: dict = {}
+        for e in range(first[i], first[i + 1]):
+            p = part[to[e]]
+            links[p] = links.get(p, 0.0) + w[e]
+        links.pop(i, None)
+        best, top = -1, EPS
+        for p, k in links.items():
+            g = k - resolution * s[i] * weight[p] / m2
+            if (g > top or (g == top and p < best)) and well(p, tot[i]):
+                best, top = p, g
+        if best >= 0:
+            part[i] = best
+            size[best] += 1
+            weight[best] += s[i]
+            out[best] += ext[i] - 2 * links[best]
+    return pd.DataFrame({"id": ids, "ref": ids[np.array(part, np.int64)]})
+
+
+def _connected(edges: DataFrame, comm: DataFrame) -> tuple[DataFrame, bool]:
+    """Groups split into what links within them connect, and whether any was; labels are twice the smallest id."""
+    a, b = (comm.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in ("src", "dst"))
+    inner = edges.join(a, "src").join(b, "dst").filter("lsrc = ldst")
+    roots = linked_roots(inner.select(F.lit("").alias("slide"), F.col("src").alias("a"), F.col("dst").alias("b")))
+    both = comm.join(roots.select(F.col("v").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    n = both.agg(F.count_distinct("root").alias("parts"), F.count_distinct("label").alias("groups")).first()
+    done = cut_lineage(both.select("id", (F.col("root") * 2).alias("label")))
+    drop_stage(roots)
+    return done, n["parts"] > n["groups"]
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 1, block_links: int = 50_000) -> DataFrame:
+    """Groups of an undirected weighted graph (``src, dst, w``): ``id, label``, 0 the largest.
+
+    Local moves, refinement, contraction, from the top again until nothing changes.  Then
+    no single move raises modularity and every group is connected.  Between moving and
+    contraction a group is split into parts that are connected and well linked to it; the
+    contracted graph's nodes are the parts, so a part that only hangs on loosely can leave
+    its group as a whole.  Nodes move one after the other within blocks of about
+    ``block_links`` links, blocks at the same time; a round that does not raise modularity
+    is taken back and fewer blocks move in the next.  Nodes of more than HUB links are
+    handled apart, by sums per group.  Ids are integers; labels depend on the block size,
+    so judge the result by its modularity.
+    """
+    base = cut_lineage(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
+    m2 = 2.0 * (base.agg(F.sum("w")).first()[0] or 0.0)
+    # Labels are even; an odd one is a node that has just left for itself.
+    nodes = base.select(F.col("src").alias("id")).union(base.select("dst")).distinct()
+    comm = nodes.select("id", (F.col("id") * 2).alias("label"))
+    turn, fresh = seed, True
+    ground = _Level(base, m2, resolution, block_links) if m2 else None
+    while m2:
+        comm, moved = ground.settle(comm, turn)
+        if not (moved or fresh):
+            comm, split = _connected(base, comm)
+            if not split:
+                break
+        fresh = False
+        level, groups, member = ground, comm, None
+        while True:
+            ref = level.refine(groups)
+            if ref.filter("id <> ref").isEmpty():
+                break
+            links, groups = level.contract(ref, groups)
+            up = ref if member is None else cut_lineage(member.join(ref.select(F.col("id").alias("ref"), F.col("ref").alias("next")), "ref").select("id", F.col("next").alias("ref")))
+            member = up
+            if level is not ground:
+                level.drop()
+            level = _Level(links, m2, resolution, block_links)
+            turn += 1
+            groups, _ = level.settle(groups, turn)
+        if member is not None:
+            comm = cut_lineage(member.join(groups.withColumnRenamed("id", "ref"), "ref").select("id", "label"))
+        turn += 1
+    sizes = comm.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    order = positions(sizes, [F.desc("n"), F.col("label")], "new").select("label", F.col("new").cast("int").alias("new"))
+    return comm.join(order, "label").select("id", F.col("new").alias("label"))

@@ -216,3 +216,19 @@ def row_numbers(df: DataFrame, by, bucket: Column, order: list, name: str = "ind
         .withColumn(name, (F.col("__i") + F.col("__start")).cast("bigint"))
         .drop("__b", "__i", "__start")
     )
+
+
+def positions(df: DataFrame, order: list, name: str = "index") -> DataFrame:
+    """0-based position of every row along ``order``, over the whole table.
+
+    Ranges of ``order`` are sorted apart and shifted by the rows of the ranges before
+    them; only one count per range is looked at together.  Ties keep one of their orders.
+    """
+    from .components import cut_lineage
+
+    ranged = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33)
+    sizes = ranged.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    start = sizes.select("__p", F.coalesce(F.sum("__n").over(_before(W.orderBy("__p"))), F.lit(0)).alias("__s"))
+    at = (F.col("__m") - F.shiftleft(F.col("__p"), 33) + F.col("__s")).cast("bigint")
+    return ranged.withColumn("__p", part).join(start, "__p").withColumn(name, at).drop("__m", "__p", "__s")

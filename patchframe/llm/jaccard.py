@@ -97,8 +97,9 @@ def similar_texts(annotations: DataFrame, n: int = 5, threshold: float = 0.8, re
     to ``small`` classes is compared in full, once for all buckets with the same members.  A larger
     one is split again on n-grams not yet in its path, ``DEEPER`` of those that a pair at the
     threshold shares; where most of its classes follow the same n-gram, more splitting
-    cannot part them, and it is compared in pairs of blocks of ``block`` classes.  So are
-    its classes whose path holds all that a pair has to share.  Every comparison is exact.  A pair counts in the smallest
+    cannot part them, and it is compared in pairs of blocks of ``block`` classes, together
+    with the other buckets that hold mostly the same classes.  So are its classes whose path
+    holds all that a pair has to share.  Every comparison is exact.  A pair counts in the smallest
     of the buckets that it shares, and a task hands on counts and a spanning forest.
 
     So links are exact, and a pair at the threshold is missed with a chance of 1 - recall,
@@ -160,6 +161,7 @@ def similar_texts(annotations: DataFrame, n: int = 5, threshold: float = 0.8, re
     G = stage(G.groupBy("c").agg(F.any_value("copies").alias("copies"), F.any_value("g").alias("g")), "sets")
 
     leaves = [_same_lists(members.where(F.col("m") <= small))]
+    whole: list[DataFrame] = []  # large buckets that are compared in block pairs
     large = members.where(F.col("m") > small).select("key", "c", "m", F.array().cast("array<bigint>").alias("used"))
     made: list[DataFrame] = []
     while not large.isEmpty():
@@ -192,14 +194,19 @@ def similar_texts(annotations: DataFrame, n: int = 5, threshold: float = 0.8, re
         top = of.groupBy("key").agg(F.max(F.col("n") / F.col("m")).alias("share"))
         # More than half of a bucket on one n-gram: it holds near copies, or as good as.
         dense = stage(top.where("share > 0.5").select("key"), "dense")
-        leaves.append(large.join(dense, "key", "left_semi").select("key", "c", "m"))
+        whole.append(large.join(dense, "key", "left_semi").select("key", "c", "m"))
         kids = E.join(dense, "key", "left_anti").join(of.where("n > 1").select("key", "child", "n"), ["key", "child"])
         kids = stage(kids.select(F.col("child").alias("key"), "c", F.col("n").alias("m"), "used", "done"), "members")
         leaves.append(_same_lists(kids.where(F.col("m") <= small)))
-        leaves.append(kids.where((F.col("m") > small) & F.col("done")).select("key", "c", "m"))
+        whole.append(kids.where((F.col("m") > small) & F.col("done")).select("key", "c", "m"))
         large = kids.where((F.col("m") > small) & ~F.col("done")).drop("done")
         drop_stage(E)
 
+    if whole:
+        D = whole[0]
+        for x in whole[1:]:
+            D = D.unionByName(x)
+        leaves.append(_overlapping(stage(D, "dense-members")))
     L = leaves[0]
     for x in leaves[1:]:
         L = L.unionByName(x)
@@ -247,6 +254,31 @@ def _same_lists(members: DataFrame) -> DataFrame:
     return one.select("key", F.explode("l").alias("c"), F.size("l").cast("long").alias("m"))
 
 
+def _overlapping(members: DataFrame) -> DataFrame:
+    """Large buckets (``key, c, m``), those with mostly the same members as one bucket.
+
+    A group of near copies lies in several large buckets.  Each class names the largest of
+    its buckets; a bucket most of whose members name another one, which names itself, goes
+    into it.  The union holds every pair of either.  It is taken only where comparing it is
+    no more work than comparing its buckets one by one.
+    """
+    members = members.distinct()
+    lead = members.groupBy("c").agg(F.max(F.struct("m", "key"))["key"].alias("lead"))
+    votes = members.join(lead, "c").groupBy("key", "m", "lead").agg(F.count(F.lit(1)).alias("n"))
+    goes = votes.groupBy("key", "m").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"), F.max("n").alias("n"))
+    goes = goes.select("key", "m", F.when(F.col("n") * 2 > F.col("m"), F.col("lead")).otherwise(F.col("key")).alias("lead"))
+    heads = goes.where("key = lead").select(F.col("key").alias("lead"), F.lit(True).alias("head"))
+    goes = goes.join(heads, "lead", "left").select("key", "m", F.when(F.col("head"), F.col("lead")).otherwise(F.col("key")).alias("lead"))
+    goes = stage(goes, "dense-leads")
+    apart = goes.groupBy("lead").agg(F.sum(F.col("m").cast("double") ** 2).alias("work"))
+    united = stage(members.join(goes.select("key", "lead"), "key").select("lead", "c").distinct(), "dense-united")
+    size = united.groupBy("lead").agg(F.count(F.lit(1)).alias("size")).join(apart, "lead")
+    fold = size.where(F.col("size").cast("double") ** 2 <= F.col("work"))
+    one = united.join(fold.select("lead", "size"), "lead").select(F.col("lead").alias("key"), "c", F.col("size").alias("m"))
+    kept = goes.join(fold, "lead", "left_anti").select("key")
+    return one.unionByName(members.join(kept, "key", "left_semi").select("key", "c", "m"))
+
+
 def _links(key, rows: list, threshold: float):
     """Links of one bucket, or one pair of its blocks, that no smaller bucket has counted: ``c, count, another linked``."""
     if len(rows) < 2:

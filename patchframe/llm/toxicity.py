@@ -6,12 +6,15 @@ keeps its maximum over the whole text; a linear layer makes the score.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, drop_stage, stage
 from .words import hashes, letters, text_chunks
 
 BUCKETS = 1 << 15
@@ -38,7 +41,7 @@ def padded(counts: np.ndarray, ids: np.ndarray):
     gap = max(WIDTHS) - 1
     size = np.maximum(counts, 1)
     start = np.concatenate([[0], np.cumsum(size + gap)])[:-1]
-    out = np.zeros((int((size + gap).sum()), ids.shape[1]), np.int32)
+    out = np.zeros((int((size + gap).sum()), ids.shape[1]), ids.dtype)
     at = np.repeat(start - np.concatenate([[0], np.cumsum(counts)])[:-1], counts) + np.arange(len(ids))
     out[at] = ids
     return out, start, start + size
@@ -176,12 +179,14 @@ def best_cut(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_toxicity(annotations: DataFrame, labels: DataFrame, text: str = "name", toxic: str = "toxic", lang: str = "lang", id: str = "id",
-                 fit_rows: int = 10_000, epochs: int = 8, seed: int = 5) -> tuple[Model, dict]:
+                 fit_rows: int = 10_000, fit_words: int = 8_000_000, epochs: int = 8, seed: int = 5) -> tuple[Model, dict]:
     """Model and the thresholds of each language, from annotations that ``labels`` (``id, toxic``) call toxic, 0 or 1.
 
-    Fitted on a bounded sample: the ``fit_rows`` labels that come first in hash order of
-    their ids, so few that they are sent to where the texts are; whole texts, which go to
-    the driver as word hashes.  One in five is held back for
+    Fitted on a bounded sample: of the ``fit_rows`` labels that come first in hash order of
+    their ids, so few that they are sent to where the texts are, the first whose whole texts
+    have ``fit_words`` words together (texts of over a hundredth of that come last).  Their word hashes, six bytes a word, are written to
+    the shared folder and the model is trained in one task; the driver gets the model, some
+    2 MB, and never a text.  One in five is held back for
     calibration: the score is shifted so that 0.3 is the cut with the best F1 there, and
     ``thresholds`` has the best cut per language (of at least 20 held-back texts of both
     kinds, else 0.3).  Rows with a null label are left out.  Without labels of both kinds
@@ -193,24 +198,44 @@ def fit_toxicity(annotations: DataFrame, labels: DataFrame, text: str = "name",
     rows = T.join(F.broadcast(L), "id")
 
     def hashed(it):
-        schema = pa.schema([("y", pa.int32()), ("lang", pa.string()), ("fold", pa.int64()), ("w", pa.binary())])
+        schema = pa.schema([("id", pa.binary()), ("y", pa.int32()), ("lang", pa.string()), ("fold", pa.int64()), ("n", pa.int64()), ("w", pa.binary())])
 
         def out():
             for b in it:
-                y, langs, fold = (b.column(i).to_pylist() for i in range(3))
-                for row, counts, ids in word_ids(b.column(3)):
+                head = [b.column(i).to_pylist() for i in range(4)]
+                for row, counts, ids in word_ids(b.column(4)):
                     at = np.concatenate([[0], np.cumsum(counts)])
                     for i in range(len(counts)):
-                        yield y[row + i], langs[row + i], fold[row + i], ids[at[i]:at[i + 1]].tobytes()
+                        yield (*(h[row + i] for h in head), int(counts[i]), ids[at[i]:at[i + 1]].astype(np.uint16).tobytes())
         yield from batches(schema, out())
 
+    order = F.unhex(F.sha2(F.concat_ws(":", F.xxhash64("id"), F.sha2("t", 256)), 256))
+    sample = stage(rows.select(order.alias("id"), "y", "lang", F.pmod(F.xxhash64("t", F.lit(3)), F.lit(5)).alias("fold"), "t").mapInArrow(
+        hashed, "id binary, y int, lang string, fold bigint, n bigint, w binary"), "toxicity-sample")
+    # At most fit_rows rows (more only where an id has several texts), without their words.
+    upto = F.sum("n").over(W.orderBy(F.col("n") > fit_words // 100, "id", "y", "lang").rowsBetween(W.unboundedPreceding, W.currentRow))
+    taken = sample.select("id", "y", "lang", "n").withColumn("upto", upto).where(F.col("upto") <= fit_words).select("id", "y", "lang").distinct()
+    few = sample.join(F.broadcast(taken), ["id", "y", "lang"], "left_semi").select("y", "lang", "fold", "w")
+
+    def fit(it):
+        got: list = []
+        for b in it:
+            got += zip(*(b.column(i).to_pylist() for i in range(4)))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(_fit(got, epochs, seed))], pa.binary())})
+
+    made = few.coalesce(1).mapInArrow(fit, "model binary").collect()
+    drop_stage(sample)
+    return pickle.loads(made[0].model) if made else _fit([], epochs, seed)
+
+
+def _fit(got: list, epochs: int, seed: int) -> tuple[Model, dict]:
+    """Model and thresholds from rows of label, language, fold and word hashes."""
     # In one order whatever the tasks, as training goes by it.
-    got = rows.select("y", "lang", F.pmod(F.xxhash64("t", F.lit(3)), F.lit(5)).alias("fold"), "t").mapInArrow(
-        hashed, "y int, lang string, fold bigint, w binary").toArrow().sort_by([("fold", "ascending"), ("w", "ascending"), ("y", "ascending")])
-    y = np.asarray(got.column("y")).astype(np.int64) if len(got) else np.zeros(0, np.int64)
-    texts = [np.frombuffer(w.as_py(), np.int32).reshape(-1, 1 + len(PREFIXES)) for w in got.column("w")]
-    back = np.asarray(got.column("fold")) == 0 if len(got) else np.zeros(0, bool)
-    langs = np.array(got.column("lang").to_pylist(), dtype=object)
+    texts = [np.frombuffer(w, np.uint16).reshape(-1, 1 + len(PREFIXES)) for *_, w in got]
+    at = sorted(range(len(got)), key=lambda i: (got[i][2], texts[i].astype("<i4").tobytes(), got[i][0]))
+    texts = [texts[i] for i in at]
+    y, langs = np.array([got[i][0] for i in at], np.int64), np.array([got[i][1] for i in at], object)
+    back = np.array([got[i][2] for i in at], np.int64) == 0
     if len(np.unique(y[~back])) < 2:
         model = Model(seed)
         model.v[:], model.shift = 0, -4.0

@@ -338,3 +338,40 @@ def test_words_and_hashes_do_not_depend_on_place():
     assert [(bytes(data[a:b]), i) for a, b, i in zip(s, e, t)] == [(w, i) for i, x in enumerate(texts) for w in x.split()]
     h = hashes(data, s, e)
     assert h[0] == h[3] and h[1] == h[2] and len(set(h.tolist())) == 3
+
+
+def test_toxicity_sample_is_bounded_by_words(spark):
+    """Texts that would exceed the bound stay out of the fit; very long ones are never gathered."""
+    rows = [(i, ("good day " if i % 2 else "vile words ") * 20 + str(i), "en") for i in range(200)] + [(900 + i, "long " * 200_000, "en") for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, name string, lang string")
+    L = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _, _ in rows], "id long, toxic int")
+    model, _ = toxicity.fit_toxicity(df, L, fit_words=6000)
+    got = {r.id: r.toxic for r in toxicity.score_toxicity(df.where("id < 200"), model).collect()}
+    assert np.mean([got[i] == (i % 2 == 0) for i in got]) > 0.95
+    none, cuts = toxicity.fit_toxicity(df, L, fit_words=10)
+    assert cuts == {} and none.shift == -4.0
+
+
+def test_near_copies_in_several_large_buckets_are_compared_once(spark, monkeypatch):
+    """Block rows of a group of n near copies grow with n, and its links stay whole."""
+    seen = {}
+    real = jaccard.stage
+
+    def stage(df, name):
+        out = real(df, name)
+        if name == "leaves":
+            seen["rows"] = out.where("m > 48").count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", stage)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    for n in (100, 200):
+        rows = []
+        for i in range(n):
+            words_ = list(base)
+            words_[rng.randrange(150)] = f"x{i}"
+            rows.append((i, " ".join(words_)))
+        got = jaccard.similar_texts(names(spark, rows)).collect()
+        assert {(r.id, r.n_links, r.component_id) for r in got} == {(i, a, b) for i, (a, b) in plain_links(rows, 5, 0.8).items()}
+        assert seen["rows"] <= 2 * n

@@ -161,6 +161,54 @@ def test_morphology_matches_brute_force(spark):
     assert (to_array(raster.opening(mask_df(spark, m), 1), m.shape) == opened).all()
 
 
+def meets(rings):
+    """Do any two segments meet elsewhere than in a common end?  Plain loops."""
+    segs = [(tuple(r[k]), tuple(r[k + 1])) for r in rings for k in range(len(r) - 1)]
+
+    def side(a, b, c):
+        return np.sign((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
+
+    def on(a, b, c):
+        return side(a, b, c) == 0 and min(a[0], b[0]) <= c[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= c[1] <= max(a[1], b[1])
+
+    for i, (a, b) in enumerate(segs):
+        for c, d in segs[i + 1:]:
+            if {a, b} == {c, d} or any(on(a, b, e) for e in (c, d) if e not in (a, b)) or any(on(c, d, e) for e in (a, b) if e not in (c, d)):
+                return True
+            if not {a, b} & {c, d} and side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
+                return True
+    return False
+
+
+def outline_segments(m):
+    m, table, out = np.pad(m, 1), contour._segments(), []
+    for y in range(m.shape[0] - 1):
+        for x in range(m.shape[1] - 1):
+            code = 8 * m[y, x] + 4 * m[y, x + 1] + 2 * m[y + 1, x + 1] + m[y + 1, x]
+            out += [(2 * x + a, 2 * y + b, 2 * x + c, 2 * y + d) for a, b, c, d in table.get(int(code), [])]
+    return np.array(out)
+
+
+def test_simplified_rings_stay_simple():
+    crossed = 0
+    rng = np.random.default_rng(2)
+    for k in range(25):
+        m = np.zeros((22, 22), int)
+        y, x = 11, 11
+        for _ in range(170):  # a winding walk, thin in places
+            m[y, x] = 1
+            dy, dx = [(0, 1), (1, 0), (0, -1), (-1, 0)][rng.integers(4)]
+            y, x = np.clip(y + dy, 1, 20), np.clip(x + dx, 1, 20)
+        raw = contour.link_rings(outline_segments(m))
+        assert not meets(raw)
+        for tolerance in (0.8, 1.5, 3.0):
+            got = contour.simplify_rings(raw, tolerance)
+            assert not meets(got), (k, tolerance)
+            assert sum(map(len, got)) < sum(map(len, raw))
+            crossed += meets([r[contour._kept(r, tolerance)] for r in raw])
+    assert crossed > 3  # without the check these would cross
+
+
 def test_outline_of_a_ring_of_cells(spark):
     m = np.zeros((9, 9), int)
     m[1:8, 1:8] = 1

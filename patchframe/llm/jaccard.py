@@ -95,7 +95,7 @@ def similar_texts(annotations: DataFrame, n: int = 5, threshold: float = 0.8, re
     Texts with equal sets are folded to one class and counted.  A class takes part in a
     bucket for each picked n-gram of each of ``runs_for(recall)`` runs.  A bucket of up
     to ``small`` classes is compared in full, once for all buckets with the same members.  A larger
-    one is split again on n-grams not yet in its path, ``DEEPER`` of those that a pair at the
+    one, joined with those that hold mostly the same classes, is split again on n-grams not yet in its path, ``DEEPER`` of those that a pair at the
     threshold shares; where most of its classes follow the same n-gram, more splitting
     cannot part them, and it is compared in pairs of blocks of ``block`` classes, together
     with the other buckets that hold mostly the same classes.  So are its classes whose path
@@ -162,7 +162,10 @@ def similar_texts(annotations: DataFrame, n: int = 5, threshold: float = 0.8, re
 
     leaves = [_same_lists(members.where(F.col("m") <= small))]
     whole: list[DataFrame] = []  # large buckets that are compared in block pairs
-    large = members.where(F.col("m") > small).select("key", "c", "m", F.array().cast("array<bigint>").alias("used"))
+    large = stage(members.where(F.col("m") > small).select("key", "c", "m"), "large")
+    if not large.isEmpty():
+        large = stage(_overlapping(large), "large")
+    large = large.withColumn("used", F.array().cast("array<bigint>"))
     made: list[DataFrame] = []
     while not large.isEmpty():
         own = G.join(large.select("c").distinct(), "c", "left_semi") if not made else made[0]
@@ -206,7 +209,7 @@ def similar_texts(annotations: DataFrame, n: int = 5, threshold: float = 0.8, re
         D = whole[0]
         for x in whole[1:]:
             D = D.unionByName(x)
-        leaves.append(_overlapping(stage(D, "dense-members")))
+        leaves.append(_overlapping(stage(D.distinct(), "dense-members")))
     L = leaves[0]
     for x in leaves[1:]:
         L = L.unionByName(x)
@@ -262,7 +265,6 @@ def _overlapping(members: DataFrame) -> DataFrame:
     into it.  The union holds every pair of either.  It is taken only where comparing it is
     no more work than comparing its buckets one by one.
     """
-    members = members.distinct()
     lead = members.groupBy("c").agg(F.max(F.struct("m", "key"))["key"].alias("lead"))
     votes = members.join(lead, "c").groupBy("key", "m", "lead").agg(F.count(F.lit(1)).alias("n"))
     goes = votes.groupBy("key", "m").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"), F.max("n").alias("n"))

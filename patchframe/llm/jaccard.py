@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +96,7 @@ def similar_texts(annotations: DataFrame, n: int = 5, threshold: float = 0.8, re
     Texts with equal sets are folded to one class and counted.  A class takes part in a
     bucket for each picked n-gram of each of ``runs_for(recall)`` runs.  A bucket of up
     to ``small`` classes is compared in full, once for all buckets with the same members.  A larger
-    one, joined with those that hold mostly the same classes, is split again on n-grams not yet in its path, ``DEEPER`` of those that a pair at the
+    one is split again on n-grams not yet in its path, ``DEEPER`` of those that a pair at the
     threshold shares; where most of its classes follow the same n-gram, more splitting
     cannot part them, and it is compared in pairs of blocks of ``block`` classes, together
     with the other buckets that hold mostly the same classes.  So are its classes whose path
@@ -162,48 +163,61 @@ def similar_texts(annotations: DataFrame, n: int = 5, threshold: float = 0.8, re
 
     leaves = [_same_lists(members.where(F.col("m") <= small))]
     whole: list[DataFrame] = []  # large buckets that are compared in block pairs
-    large = stage(members.where(F.col("m") > small).select("key", "c", "m"), "large")
-    if not large.isEmpty():
-        large = stage(_overlapping(large), "large")
-    large = large.withColumn("used", F.array().cast("array<bigint>"))
+    large = members.where(F.col("m") > small).select("key", "c", "m", F.array().cast("array<bigint>").alias("used"))
     made: list[DataFrame] = []
     while not large.isEmpty():
         own = G.join(large.select("c").distinct(), "c", "left_semi") if not made else made[0]
         if not made:
             made.append(stage(own, "large-sets"))
-        T = made[0].join(large.groupBy("c").agg(F.collect_list(F.struct("key", "m", "used")).alias("paths")), "c")
-
-        def split(it):
-            schema = pa.schema([("key", pa.int64()), ("m", pa.int64()), ("c", pa.binary()), ("child", pa.int64()), ("used", pa.list_(pa.int64())), ("done", pa.bool_())])
+        def sets_of(some: DataFrame) -> DataFrame:
+            paths = some.groupBy("c").agg(F.collect_list(F.struct("key", "m", "used")).alias("paths"))
+            return made[0].join(paths, "c").select("c", "g", "paths")
+
+        def children(batch):
+            for c, g, paths in zip(*(x.to_pylist() for x in batch.columns)):
+                g = np.frombuffer(g, np.uint64)
+                for p in paths:
+                    path = np.array([p["key"]], np.int64).view(np.uint64)
+                    # A first bucket's key does not say its n-gram, but the set has it.
+                    used = np.array(p["used"], np.int64).view(np.uint64) if p["used"] else g[(_child(seeds[:, None], g) == path).any(axis=0)]
+                    behind = used.view(np.int64).tolist()
+                    if threshold * len(g) <= len(used) + 1e-9:  # a pair may have nothing more in common
+                        yield p["key"], p["m"], c, int(mix(~path).view(np.int64)[0]), behind, True
+                    k = g[_picked(g, path, np.array([len(g)]), threshold, len(used), DEEPER)]
+                    for one in k[~np.isin(k, used)]:
+                        yield p["key"], p["m"], c, int(_child(path, one[None]).view(np.int64)[0]), [*behind, int(one.astype(np.int64))], False
+
+        def tally(it):
+            schema = pa.schema([(x, pa.int64()) for x in ("key", "m", "child", "n")])
 
             def rows():
+                counts: Counter = Counter()
                 for b in it:
-                    for c, g, paths in zip(*(b.column(i).to_pylist() for i in (0, 1, 2))):
-                        g = np.frombuffer(g, np.uint64)
-                        for p in paths:
-                            path = np.array([p["key"]], np.int64).view(np.uint64)
-                            # A first bucket's key does not say its n-gram, but the set has it.
-                            used = np.array(p["used"], np.int64).view(np.uint64) if p["used"] else g[(_child(seeds[:, None], g) == path).any(axis=0)]
-                            behind = used.view(np.int64).tolist()
-                            if threshold * len(g) <= len(used) + 1e-9:  # a pair may have nothing more in common
-                                yield p["key"], p["m"], c, int(mix(~path).view(np.int64)[0]), behind, True
-                            k = g[_picked(g, path, np.array([len(g)]), threshold, len(used), DEEPER)]
-                            for one in k[~np.isin(k, used)]:
-                                yield p["key"], p["m"], c, int(_child(path, one[None]).view(np.int64)[0]), [*behind, int(one.astype(np.int64))], False
+                    counts.update((key, m, child) for key, m, _, child, _, _ in children(b))
+                    if len(counts) > 200_000:
+                        yield from ((*k, n) for k, n in counts.items())
+                        counts.clear()
+                yield from ((*k, n) for k, n in counts.items())
             yield from batches(schema, rows(), 5000)
 
-        E = stage(T.select("c", "g", "paths").mapInArrow(split, "key bigint, m bigint, c binary, child bigint, used array<bigint>, done boolean"), "children")
-        of = E.groupBy("key", "m", "child").agg(F.count(F.lit(1)).alias("n"))
+        def split(it):
+            schema = pa.schema([("key", pa.int64()), ("m", pa.int64()), ("c", pa.binary()), ("child", pa.int64()), ("used", pa.list_(pa.int64())), ("done", pa.bool_())])
+            yield from batches(schema, (r for b in it for r in children(b)), 5000)
+
+        # Counts first, summed where the sets lie: classes of buckets that are not to be split make no rows.
+        of = sets_of(large).mapInArrow(tally, "key bigint, m bigint, child bigint, n bigint")
+        of = stage(of.groupBy("key", "m", "child").agg(F.sum("n").alias("n")), "children")
         top = of.groupBy("key").agg(F.max(F.col("n") / F.col("m")).alias("share"))
         # More than half of a bucket on one n-gram: it holds near copies, or as good as.
         dense = stage(top.where("share > 0.5").select("key"), "dense")
         whole.append(large.join(dense, "key", "left_semi").select("key", "c", "m"))
-        kids = E.join(dense, "key", "left_anti").join(of.where("n > 1").select("key", "child", "n"), ["key", "child"])
+        E = sets_of(large.join(dense, "key", "left_anti")).mapInArrow(split, "key bigint, m bigint, c binary, child bigint, used array<bigint>, done boolean")
+        kids = E.join(of.where("n > 1").select("key", "child", "n"), ["key", "child"])
         kids = stage(kids.select(F.col("child").alias("key"), "c", F.col("n").alias("m"), "used", "done"), "members")
         leaves.append(_same_lists(kids.where(F.col("m") <= small)))
         whole.append(kids.where((F.col("m") > small) & F.col("done")).select("key", "c", "m"))
         large = kids.where((F.col("m") > small) & ~F.col("done")).drop("done")
-        drop_stage(E)
+        drop_stage(of)
 
     if whole:
         D = whole[0]

@@ -12,7 +12,7 @@ from patchframe.functions.scalar import half_up
 
 from . import stats
 from .expression import code_histogram, is_coded
-from .signatures import score_signatures
+from .signatures import require_scored, score_signatures
 
 
 def region_sizes(E: DataFrame) -> DataFrame:
@@ -75,16 +75,18 @@ def differential_signatures(
     min_patches: int = 5, on_small: str = "error",
 ) -> DataFrame:
     """The same test over module scores.  A module a map cannot score has no rows and
-    is left out rather than ranked at zero."""
+    is left out rather than ranked at zero; a slide with no other raises, or is left out
+    with ``on_small="drop"``."""
     scored = score(E, G, S)
     flags = E.select("slide", "patch_id", "inside")
     long = scored.join(flags, ["slide", "patch_id"])
     h = stats.group_histogram(long, ["slide", "sig_idx", "name"], "score", F.col("inside"))
     u = stats.mann_whitney(h, ["slide", "sig_idx", "name"])
     tested = stats.compared(_guard(u, min_patches, on_small))
-    return _finish(tested, "sig_idx").select(
+    done = _finish(tested, "sig_idx").select(
         "slide", "sig_idx", F.col("name"), "mean_in", "mean_out", "diff", "auc", "p", "q", "n_in", "n_out"
     )
+    return done if on_small == "drop" else require_scored(done, G, S, E)
 
 
 def ranked(df: DataFrame, key: str = "gene_idx") -> DataFrame:

@@ -11,7 +11,7 @@ from patchframe.functions.scalar import fisher_z_p, value_bucket
 from . import stats
 from .expression import is_coded, unpack_codes
 from .joins import patches_along
-from .signatures import score_signatures
+from .signatures import require_scored, score_signatures
 
 T_BUCKETS = 4096
 AXIS = ["slide", "axis_id"]
@@ -168,11 +168,13 @@ def signature_gradient(
     on_small: str = "error",
 ) -> DataFrame:
     """The same for modules.  Scores are standardised over the whole slide first and
-    cut to the corridor afterwards."""
+    cut to the corridor afterwards.  A slide with an axis and no module that can be scored
+    raises, or is left out with ``on_small="drop"``."""
     along = patches_along(E.select("slide", "patch_id", "x", "y", "side"), axes, width)
     pos = corridor_positions(along)
     long = score(E, G, S).join(pos, ["slide", "patch_id"]).withColumnRenamed("score", "value")
-    return _gradient(long, ["sig_idx", "name"], axes, slides, min_patches, 0.0, on_small)
+    done = _gradient(long, ["sig_idx", "name"], axes, slides, min_patches, 0.0, on_small)
+    return done if on_small == "drop" else require_scored(done, G, S, axes)
 
 
 def ranked(df: DataFrame, key: str = "gene_idx") -> DataFrame:

@@ -86,6 +86,19 @@ def test_region_too_small(spark, noisy):
     assert enrichment.differential_expression(E, G, on_small="drop").count() == 0
 
 
+def test_modules_no_map_can_score_raise(spark, noisy):
+    E, G = make_map(spark, noisy, inside=range(20))
+    S = spark.createDataFrame([(0, "known", "G0", 1.0), (1, "strange", "NOT-HERE", 1.0)], "sig_idx int, name string, gene string, weight double")
+    arrows = axis(spark, 50, 50, 2950, 50)
+    assert {r["name"] for r in enrichment.differential_signatures(E, G, S).collect()} == {"known"}
+    strange = S.filter("sig_idx = 1")
+    for found in (enrichment.differential_signatures(E, G, strange), gradient.signature_gradient(E, G, arrows, strange)):
+        with pytest.raises(Exception, match="none can be scored"):
+            found.collect()
+    assert enrichment.differential_signatures(E, G, strange, on_small="drop").count() == 0
+    assert gradient.signature_gradient(E, G, arrows, strange, on_small="drop").count() == 0
+
+
 def test_floor_comes_before_correction(spark):
     rng = np.random.default_rng(1)
     v = np.hstack([rng.normal(5, 1, (60, 2)), rng.normal(0, 0.001, (60, 20))])

@@ -9,7 +9,6 @@ the patches is spread over its tiles.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from patchframe.functions import geometry as geo
@@ -269,10 +268,3 @@ def match_maps(maps: DataFrame, slides: DataFrame) -> tuple[DataFrame, DataFrame
     m = maps.withColumn("__k", key(F.col("map_slide")))
     s = slides.withColumn("__k", key(F.col("name")))
     return m.join(s, "__k").drop("__k"), m.join(s, "__k", "left_anti").drop("__k")
-
-
-def first_by_preference(df: DataFrame, by: list[str], preference: Column) -> DataFrame:
-    w = W.partitionBy(*by).orderBy(preference)
-    return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
-
-

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from patchframe.operators import atlas, enrichment, expression, gradient, joins, quantise, signatures, stats
+from patchframe.operators import atlas, enrichment, expression, gradient, halves, joins, quantise, signatures, stats
 
 from . import base as b
 from .base import query, r
@@ -161,6 +161,27 @@ def code_enrichment(spark, sf):
     return b.rounded(d, "mean", "mean_in", "mean_out", "diff", "auc", "p", "q")
 
 
+# Rounding to half precision: ten bits after the leading one, to even.
+HALF_SQL = """
+halved AS (
+  SELECT slide, gene_idx, label = 0 AS inside,
+         round_even(value / pow(2.0::DOUBLE, e - 10), 0) * pow(2.0::DOUBLE, e - 10) AS value
+  FROM (SELECT *, CASE WHEN value = 0 THEN -14 ELSE greatest(-14, floor(log2(abs(value)))) END AS e FROM long))"""
+
+
+@query("half_enrichment", f"""
+WITH {b.LONG_SQL}, {HALF_SQL}, {b.mw_sql('halved', 'slide, gene_idx')}, {b.bh_sql('tested', 'slide', 'gene_idx')}
+SELECT slide, gene_idx, 'g' || gene_idx AS gene, {r('mean')} AS mean, {r('mean_in')} AS mean_in,
+       {r('mean_out')} AS mean_out, {r('diff')} AS diff, {r('auc')} AS auc, {r('p')} AS p, {r('q')} AS q,
+       n_in, n_out
+FROM adjusted""")
+def half_enrichment(spark, sf):
+    """The map in half precision: counted on its bit patterns."""
+    E = b.expression(spark, sf)
+    d = enrichment.differential_expression(halves.pack_halves(E), b.genes(E), on_small="drop")
+    return b.rounded(d, "mean", "mean_in", "mean_out", "diff", "auc", "p", "q")
+
+
 @query("mann_whitney_rank", f"""
 WITH {b.LONG_SQL}, src AS (SELECT slide, gene_idx, value, label = 0 AS inside FROM long),
 {b.mw_sql('src', 'slide, gene_idx')}

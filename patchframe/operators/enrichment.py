@@ -12,6 +12,7 @@ from patchframe.functions.scalar import half_up
 
 from . import stats
 from .expression import code_histogram, is_coded
+from .halves import mann_whitney_halves
 from .signatures import require_scored, score_signatures
 
 
@@ -45,13 +46,16 @@ def differential_expression(
     """Per slide and gene: means in and out, difference, AUC, p, q.
 
     ``E`` carries a boolean ``inside``.  Byte-coded maps are tested on their codes
-    and decoded after aggregation.  The expression floor comes before the
+    and decoded after aggregation, half-precision maps (``halves``) on their bit
+    patterns.  The expression floor comes before the
     correction.  Slides whose region is too small raise, or are left out with
     ``on_small="drop"``.
     """
     genes = G.select("slide", "gene_idx", "gene", "scale", "zero")
     by = ["slide", "gene_idx"]
-    if is_coded(E):
+    if "halves" in E.columns:
+        u = mann_whitney_halves(E).join(genes, by)
+    elif is_coded(E):
         h = code_histogram(E).withColumnRenamed("code", "v")
         u = stats.mann_whitney(h, by, bounded=True).join(genes, by)
         m, c = F.col("scale").cast("double"), F.col("zero").cast("double")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import cut_lineage
+from .halves import unpack_halves
 
 
 SMALL_BYTES = 32 << 20  # written size up to which a per-slide table is broadcast
@@ -33,6 +34,8 @@ def beside(E: DataFrame, small: DataFrame, how: str = "inner", small_bytes: int
 
 def as_arrays(E: DataFrame) -> DataFrame:
     """The map with its values as arrays, whatever its layout."""
+    if "halves" in E.columns:
+        return unpack_halves(E)
     return unpack_codes(E) if E.schema["values"].dataType.typeName() == "binary" else E
 
 
@@ -65,6 +68,7 @@ def gene_values(E: DataFrame, G: DataFrame, gene: str) -> DataFrame:
 
     Byte codes come back as values where the gene has a scale.
     """
+    E = unpack_halves(E) if "halves" in E.columns else E
     at = G.filter(F.col("gene") == gene).groupBy("slide").agg(F.min(F.struct("gene_idx", "scale", "zero")).alias("__g"))
     value = F.get("values", F.col("__g.gene_idx"))
     if is_coded(E):
@@ -130,6 +134,8 @@ def survey_genes(E: DataFrame) -> DataFrame:
 
 def is_coded(E: DataFrame) -> bool:
     """Does the map hold byte codes: packed in a binary, or as small integers."""
+    if "halves" in E.columns:
+        return False
     kind = E.schema["values"].dataType
     return kind.typeName() == "binary" or kind.elementType.typeName() in ("short", "byte", "integer")
 

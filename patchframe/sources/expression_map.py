@@ -109,7 +109,8 @@ def read_expression_maps(
     Each task reads one range of rows.  Halves are widened on the way in.  With
     ``codes`` the files must be uint8 and come back as small integers (or, with
     ``"packed"``, as one binary per patch, the layout for large maps) with scale and
-    zero in the gene table; otherwise byte codes are decoded.  Bad files raise, or are
+    zero in the gene table; otherwise byte codes are decoded.  With ``"halves"`` the files
+    must be float16 and keep their bytes in ``halves binary`` instead of ``values``.  Bad files raise, or are
     left out with ``on_bad="skip"`` (:func:`read_headers` lists them).
     """
     h = read_headers(spark, paths)
@@ -118,9 +119,11 @@ def read_expression_maps(
     else:
         msg = F.concat_ws(": ", "path", "error")
         h = h.withColumn("path", F.when(F.col("error").isNotNull(), F.raise_error(msg)).otherwise(F.col("path")))
+    halves = codes == "halves"
     if codes:
-        wrong = F.raise_error(F.concat(F.col("path"), F.lit(": not a uint8 map")))
-        h = h.withColumn("path", F.when(F.col("dtype") == "uint8", F.col("path")).otherwise(wrong))
+        need = "float16" if halves else "uint8"
+        wrong = F.raise_error(F.concat(F.col("path"), F.lit(f": not a {need} map")))
+        h = h.withColumn("path", F.when(F.col("dtype") == need, F.col("path")).otherwise(wrong))
     n = int(rows_per_partition)
     ranges = h.select(
         "path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_rows") - 1, F.lit(n).cast("bigint"))).alias("first"),
@@ -129,10 +132,11 @@ def read_expression_maps(
     # Spread the ranges: the value blocks are read after this small shuffle.
     ranges = ranges.repartition("path", "first")
     kind, np_kind, arrow_kind = (("smallint", np.int16, pa.int16()) if codes else ("float", np.float32, pa.float32()))
-    packed = codes == "packed"
+    packed = codes in ("packed", "halves")
+    column_name = "halves" if halves else "values"
     schema = pa.schema([
         ("slide", pa.string()), ("patch_id", pa.int64()), ("x", pa.int64()), ("y", pa.int64()),
-        ("side", pa.int32()), ("values", pa.binary() if packed else pa.list_(arrow_kind)),
+        ("side", pa.int32()), (column_name, pa.binary() if packed else pa.list_(arrow_kind)),
     ])
 
     def read(batches):
@@ -154,6 +158,7 @@ def read_expression_maps(
                         at = head["patches"][a : a + m]
                         offsets = np.arange(0, (m + 1) * genes, genes, dtype=np.int32)
                         if packed:
+                            offsets *= dt.itemsize
                             column = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
                         else:
                             flat = np.ascontiguousarray(v, np_kind).ravel()
@@ -171,8 +176,8 @@ def read_expression_maps(
                         )
 
     E = ranges.select("path", "first", "count").mapInArrow(
-        read, "slide string, patch_id bigint, x bigint, y bigint, side int, values "
-        + ("binary" if packed else f"array<{kind}>")
+        read, "slide string, patch_id bigint, x bigint, y bigint, side int, "
+        + f"`{column_name}` " + ("binary" if packed else f"array<{kind}>")
     )
     G = h.select(
         "slide", "scale", "zero", F.posexplode("genes").alias("gene_idx", "gene")

@@ -32,6 +32,12 @@ def test_map_is_read_in_ranges(spark, tmp_path, dtype):
     got = E.orderBy("patch_id").toPandas()
     want = v.astype(em.DTYPES[dtype]).astype(np.float32)
     assert np.array_equal(np.stack(got["values"]), want)
+    if dtype == "float16":
+        raw = em.read_expression_maps(spark, [p], rows_per_partition=10, codes="halves")[0].orderBy("patch_id").toPandas()
+        assert list(raw["halves"]) == [r.tobytes() for r in v.astype("<f2")]
+    else:
+        with pytest.raises(Exception, match="not a float16 map"):
+            em.read_expression_maps(spark, [p], codes="halves")[0].count()
     assert list(got["x"]) == [10 * i for i in range(57)] and [r["gene"] for r in G.orderBy("gene_idx").collect()] == ["G0", "G1", "G2", "G3"]
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchframe.functions import scalar
-from patchframe.operators import enrichment, expression, gradient, quantise, signatures, stats
+from patchframe.operators import enrichment, expression, gradient, halves, quantise, signatures, stats
 
 
 def make_map(spark, values, side=100, xy=None, slide="s", inside=None):
@@ -58,6 +58,72 @@ def test_swapping_the_groups_mirrors_the_auc(spark, noisy):
         assert a[g] + b[g] == pytest.approx(1.0)
 
 
+def test_half_patterns_order_and_tie_as_their_values():
+    bits = np.arange(1 << 16, dtype=np.uint16)
+    v = bits.view(np.float16).astype(np.float64)
+    key = halves.in_order(bits)
+    back = halves.key_values()[key]
+    assert np.array_equal(back, v, equal_nan=True)
+    order = np.argsort(key, kind="stable")
+    number = ~np.isnan(v[order])
+    assert (np.diff(v[order][number]) >= 0).all() and not number[-2046:].any()
+    assert key[0x8000] == key[0]  # both zeros
+
+
+def test_halves_give_the_test_of_the_widened_values(spark):
+    rng = np.random.default_rng(11)
+    v = np.where(rng.random((300, 37)) < 0.4, 0, rng.normal(size=(300, 37)) * 10.0 ** rng.integers(-7, 4, 37))
+    v[3, 0], v[4, 0], v[:, 5], v[9, 6], v[10, 6] = -0.0, 0.0, 7.0, 1e9, -1e9  # tied zeros, a flat gene, infinities
+    a, Ga = make_map(spark, v[:200], inside=set(range(0, 200, 3)), slide="a")
+    c, Gc = make_map(spark, v[200:, :20], inside=set(range(40)), slide="c")
+    H = halves.pack_halves(a.unionByName(c)).repartition(7)
+    G = Ga.unionByName(Gc)
+    wide = halves.unpack_halves(H)
+    assert expression.as_arrays(H).exceptAll(wide).count() == 0
+    half = np.float32(v[:200]).clip(-1e6, 1e6)
+    half = np.where(half > 65504, np.inf, np.where(half < -65504, -np.inf, half)).astype(np.float16).astype(np.float32)
+    rows = {r["patch_id"]: r["values"] for r in wide.where("slide = 'a'").collect()}
+    assert all(np.array_equal(rows[i], half[i]) for i in rows) and len(rows) == 200
+    keys = ["u", "n_in", "n_out", "sum_in", "sum_out"]
+    got = {(r["slide"], r["gene_idx"]): r for r in halves.mann_whitney_halves(H).collect()}
+    long = expression.long_values(wide, "inside")
+    want = stats.mann_whitney(stats.group_histogram(long, ["slide", "gene_idx"], "value", F.col("inside")), ["slide", "gene_idx"]).collect()
+    assert len(got) == len(want) == 57
+    for r in want:
+        for k in keys:
+            if not math.isnan(r[k]):  # a sum over histograms of infinities
+                assert got[r["slide"], r["gene_idx"]][k] == pytest.approx(r[k], rel=1e-9), (r, k)
+    assert all(not math.isnan(r["sum_out"]) for r in got.values())
+    rows = enrichment.differential_expression(H, G).collect()
+    assert {(r["slide"], r["gene_idx"]): r["auc"] for r in rows} == {
+        (r["slide"], r["gene_idx"]): r["auc"] for r in enrichment.differential_expression(wide, G).collect()}
+    assert expression.gene_values(H, G, "G3").exceptAll(expression.gene_values(wide, G, "G3")).count() == 0
+
+
+def test_counts_of_halves_meet_in_two_steps_and_stay_small(spark):
+    rng = np.random.default_rng(5)
+    v = np.where(rng.random((1500, 40)) < 0.5, 0, rng.gamma(2, 1, (1500, 40)))
+    E, _ = make_map(spark, v, inside=set(range(0, 1500, 4)))
+    H = halves.pack_halves(E.repartition(6)).cache()
+    want = halves.mann_whitney_halves(H).orderBy("gene_idx").collect()
+    kinds = "slide string, block int, part bigint, counts binary"
+    handed = H.select("slide", "inside", "halves").mapInArrow(halves._counter(halves.HELD, halves.SPREAD), kinds).agg(F.sum(F.length("counts"))).first()[0]
+    assert handed <= 1500 * 40 * 2
+    # Every partition its own first step, a few values held at a time: same result.
+    apart = halves.mann_whitney_halves(H, held=500, spread=1).orderBy("gene_idx").collect()
+    assert [r["u"] for r in apart] == [r["u"] for r in want] and len(want) == 40
+
+
+def test_halves_that_are_missing_or_empty(spark):
+    kind = "slide string, patch_id bigint, inside boolean, values array<float>"
+    E = spark.createDataFrame([("s", 0, True, [1.0, None]), ("s", 1, None, [2.0, 3.0]), ("s", 2, False, None), ("t", 3, True, [])], kind)
+    H = halves.pack_halves(E)
+    got = {r["gene_idx"]: (r["u"], r["n_in"], r["n_out"]) for r in halves.mann_whitney_halves(H).collect()}
+    assert got == {0: (0.0, 1, 1), 1: (1.0, 1, 1)}  # NaN is above all else
+    assert halves.unpack_halves(H).where("patch_id = 2").first()["values"] is None
+    assert halves.mann_whitney_halves(H.limit(0)).count() == 0
+
+
 def test_codes_give_the_same_test_as_decoded_values(spark, noisy):
     E, G = make_map(spark, noisy, inside=set(range(50)))
     E8, G8, report = quantise.quantise(E, G, quantise.choose_genes(expression.survey_genes(E), min_expression=-1e9))

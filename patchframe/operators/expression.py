@@ -12,10 +12,29 @@ from .components import cut_lineage
 from .halves import unpack_halves
 
 
-SMALL_BYTES = 32 << 20  # written size up to which a per-slide table is broadcast
+SMALL_BYTES = 32 << 20  # size up to which a table is broadcast to a map
 SALTS = 64
 
 
+def is_small(written: DataFrame, small_bytes: int = SMALL_BYTES) -> bool:
+    """Does a written table take at most ``small_bytes`` in memory.
+
+    Files tell what surely is too large; the rest is measured as the text of its rows,
+    which is about as long as the rows or longer.
+    """
+    if int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > small_bytes:
+        return False
+    size = written.agg(F.sum(F.length(F.to_json(F.struct("*")))).alias("n")).first()["n"]
+    return (size or 0) <= small_bytes
+
+
+def with_rows(E: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner", small_bytes: int = SMALL_BYTES) -> DataFrame:
+    """Join a narrow table of patch keys to a map: the map stays where it lies while the
+    narrow side is small, beyond that both meet on the keys, which no slide makes hot."""
+    keyed = cut_lineage(keyed)
+    return E.join(F.broadcast(keyed) if is_small(keyed, small_bytes) else keyed, on, how)
+
+
 def beside(E: DataFrame, small: DataFrame, how: str = "inner", small_bytes: int = SMALL_BYTES) -> DataFrame:
     """Join a per-slide table to a map on ``slide`` without gathering a slide's rows.
 
@@ -24,8 +43,7 @@ def beside(E: DataFrame, small: DataFrame, how: str = "inner", small_bytes: int
     over which the slide's patches are spread by their own hash.
     """
     small = cut_lineage(small)
-    size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size <= small_bytes:
+    if is_small(small, small_bytes):
         return E.join(F.broadcast(small), "slide", how)
     spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = E.withColumn("__salt", F.pmod(F.xxhash64("patch_id"), F.lit(SALTS)).cast("int"))

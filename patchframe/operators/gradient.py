@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from patchframe.functions.scalar import fisher_z_p, value_bucket
 
 from . import stats
-from .expression import is_coded, unpack_codes
+from .expression import as_arrays, is_coded, with_rows
 from .joins import patches_along
 from .signatures import require_scored, score_signatures
 
@@ -139,18 +139,14 @@ def gene_gradient(
 ) -> DataFrame:
     """Per axis and gene: rho, p, q, mean, and the means of the first and last third.
 
-    The corridor is cut before the value array is opened, so genes are exploded for
-    corridor patches only.
+    The corridor is cut and ranked on patch keys; the value arrays of its patches are
+    fetched once, and only those are opened.
     """
-    along = patches_along(E, axes, width)
-    if E.schema["values"].dataType.typeName() == "binary":
-        along = unpack_codes(along)
-    pos = corridor_positions(along.select(*AXIS, "patch_id", "t")).select(
-        *AXIS, "patch_id", "rt", "at_start", "at_end"
-    )
+    along = patches_along(E.select("slide", "patch_id", "x", "y", "side"), axes, width)
+    pos = corridor_positions(along).select(*AXIS, "patch_id", "rt", "at_start", "at_end")
+    wide = E.select("slide", "patch_id", "halves" if "halves" in E.columns else "values")
     long = (
-        along.select(*AXIS, "patch_id", "values")
-        .join(pos, [*AXIS, "patch_id"])
+        as_arrays(with_rows(wide, pos, ["slide", "patch_id"]))
         .select(*AXIS, "rt", "at_start", "at_end", F.posexplode("values").alias("gene_idx", "value"))
     )
     if is_coded(E):

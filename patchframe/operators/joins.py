@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from patchframe.functions import geometry as geo
 
+from .components import cut_lineage
+from .expression import SMALL_BYTES, beside, is_small
+
 TILE = 4096.0
 
 
@@ -79,15 +82,26 @@ def patches_inside(P: DataFrame, regions: DataFrame, tile: float = TILE) -> Data
     return points_in_regions(P, regions, how="left_semi", tile=tile)
 
 
-def flag_inside(P: DataFrame, regions: DataFrame, name: str = "inside") -> DataFrame:
+def flag_inside(P: DataFrame, regions: DataFrame, name: str = "inside", small_bytes: int = SMALL_BYTES) -> DataFrame:
     """Every patch with a boolean: is its centre in any area region.
 
-    The decision is made on the patch keys alone.  Only those travel through the
-    spatial join; a wide row takes part in one equi join on its key.
+    The regions are cut into tiles, written and measured.  While those are small they are
+    broadcast and wide rows stay where they lie; beyond that the decision is made on the
+    patch keys and a wide row takes part in one equi join on its key.
     """
+    tiles = cut_lineage(region_tiles(regions))
+    if is_small(tiles, small_bytes):
+        region = F.struct("minx", "miny", "maxx", "maxy", "__edges")
+        per_tile = tiles.groupBy("__slide", "__tx", "__ty").agg(F.collect_list(region).alias("__regions"))
+        cx, cy = (c.cast("double") for c in centre())
+        covers = lambda r: (
+            (cx >= r["minx"]) & (cx <= r["maxx"]) & (cy >= r["miny"]) & (cy <= r["maxy"]) & geo.edges_contain(r["__edges"], cx, cy))
+        at = (P["slide"] == per_tile["__slide"]) & (_tile(cx, TILE) == per_tile["__tx"]) & (_tile(cy, TILE) == per_tile["__ty"])
+        flag = F.coalesce(F.exists("__regions", covers), F.lit(False))
+        return P.join(F.broadcast(per_tile), at, "left").select(*[P[c] for c in P.columns if c != name], flag.alias(name))
     keys = patches_inside(P.select("slide", "patch_id", "x", "y", "side"), regions)
     hit = keys.select("slide", "patch_id", F.lit(True).alias(name))
-    return P.join(hit, ["slide", "patch_id"], "left").withColumn(
+    return P.drop(name).join(hit, ["slide", "patch_id"], "left").withColumn(
         name, F.coalesce(F.col(name), F.lit(False))
     )
 
@@ -189,23 +203,24 @@ def patches_along(P: DataFrame, axes: DataFrame, half_width: float | None = None
     """Patches in the corridor of an axis, with their position ``t`` along it.
 
     ``axes`` has slide, axis_id, ax, ay, bx, by and, unless ``half_width`` is given,
-    width.  An axis without length has no corridor.
+    width.  An axis without length has no corridor.  Axes come to the patches, see
+    :func:`expression.beside`.
     """
     cx, cy = centre()
     width = F.lit(float(half_width)) if half_width is not None else F.col("width")
     a = axes.select(
-        "slide", "axis_id", "ax", "ay",
+        "slide", "axis_id", F.col("ax").alias("__ax"), F.col("ay").alias("__ay"),
         (F.col("bx") - F.col("ax")).alias("__dx"), (F.col("by") - F.col("ay")).alias("__dy"),
         width.alias("__w"),
     ).withColumn("__len2", F.col("__dx") * F.col("__dx") + F.col("__dy") * F.col("__dy"))
     a = a.filter(F.col("__len2") > 0)
-    px, py = cx - F.col("ax"), cy - F.col("ay")
+    px, py = cx - F.col("__ax"), cy - F.col("__ay")
     return (
-        P.join(a, "slide")
+        beside(P, a)
         .withColumn("t", (px * F.col("__dx") + py * F.col("__dy")) / F.col("__len2"))
         .filter((F.col("t") >= 0) & (F.col("t") <= 1))
         .filter(F.abs(px * F.col("__dy") - py * F.col("__dx")) / F.sqrt("__len2") <= F.col("__w"))
-        .select(*[P[c] for c in P.columns], "axis_id", "t")
+        .select(*P.columns, "axis_id", "t")
     )
 
 

@@ -124,6 +124,48 @@ def test_halves_that_are_missing_or_empty(spark):
     assert halves.mann_whitney_halves(H.limit(0)).count() == 0
 
 
+def _shuffles(df):
+    """Keys of the exchanges of a plan, joins by sorting included."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "patch_id" in line] + [
+        line for line in plan.splitlines() if "SortMergeJoin" in line]
+
+
+def test_wide_rows_stay_where_they_lie(spark):
+    """Flags and corridors of a map beyond the optimiser's broadcast limit, and the same rows by keys."""
+    from patchframe.operators import joins
+
+    rng = np.random.default_rng(2)
+    E, G = make_map(spark, rng.normal(size=(60, 6)), inside=set())
+    ring = [(450.0, -50.0), (2250.0, -50.0), (2250.0, 90.0), (450.0, 90.0), (450.0, -50.0)]
+    R = spark.createDataFrame(
+        [("s", "r", "Polygon", [[ring]], "c"), ("s", "q", "Polygon", [[[(x + 3000, y) for x, y in ring]]], "c"), ("t", "o", "Polygon", [[ring]], "c")],
+        "slide string, id string, geom_type string, polygons array<array<array<struct<x:double,y:double>>>>, class_id string")
+    axes = spark.createDataFrame([("s", 1, 0.0, 50.0, 5000.0, 50.0, 80.0), ("s", 2, 4000.0, 50.0, 100.0, 50.0, 80.0)],
+                                 "slide string, axis_id int, ax double, ay double, bx double, by double, width double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        flagged = joins.flag_inside(E, R)
+        along = joins.patches_along(E, axes)
+        assert flagged.columns == E.columns and not _shuffles(flagged) and not _shuffles(along)
+        got = {r["patch_id"] for r in flagged.where("inside").collect()}
+        assert got == {i for i in range(60) if 450 <= i * 100 + 50 < 2250 or 3450 <= i * 100 + 50 < 5250}  # right edges are open
+        pos = along.select("slide", "patch_id", "axis_id")
+        fetched = expression.with_rows(E, pos, ["slide", "patch_id"])
+        assert not _shuffles(fetched)
+        assert _shuffles(expression.with_rows(E, pos, ["slide", "patch_id"], small_bytes=0))
+        assert fetched.count() == along.count() == expression.with_rows(E, pos, ["slide", "patch_id"], small_bytes=0).count() > 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    large = joins.flag_inside(E, R, small_bytes=0)
+    assert large.select("patch_id", "inside").exceptAll(flagged.select("patch_id", "inside")).count() == 0
+    H = halves.pack_halves(E)
+    a = {(r["axis_id"], r["gene"]): r["rho"] for r in gradient.gene_gradient(H, G, axes).collect()}
+    b = {(r["axis_id"], r["gene"]): r["rho"] for r in gradient.gene_gradient(halves.unpack_halves(H), G, axes).collect()}
+    assert a == b and len(a) == 12
+
+
 def test_codes_give_the_same_test_as_decoded_values(spark, noisy):
     E, G = make_map(spark, noisy, inside=set(range(50)))
     E8, G8, report = quantise.quantise(E, G, quantise.choose_genes(expression.survey_genes(E), min_expression=-1e9))

@@ -7,6 +7,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchframe.operators.components import cut_lineage
+from patchframe.operators.expression import is_small
 from patchframe.operators.learn import LinearModel
 from patchframe.operators.raster import FEATURE_VERSION, FEATURES
 
@@ -20,7 +22,7 @@ class EmbeddingStore:
     marker row, so a job that is repeated after a lost executor does no harm.
     """
 
-    SCHEMA = "patch_key string, vec array<float>, batch bigint, cleared boolean, slide string, model_id string, level int, patch_px int"
+    SCHEMA = "patch_key string, vec array<float>, dim int, batch bigint, cleared boolean, slide string, model_id string, level int, patch_px int"
 
     def __init__(self, spark: SparkSession, path: str, dim: int):
         self.spark, self.path, self.dim = spark, path, dim
@@ -35,11 +37,25 @@ class EmbeddingStore:
 
     def read(self) -> DataFrame:
         """Current vectors.  Rows of another width belong to an older model and are ignored."""
-        raw = self._raw()
+        live = self._live(self._raw(), F.size("vec"))
+        return live.groupBy(*SHARD, "patch_key").agg(F.max_by("vec", "batch").alias("vec"))
+
+    def keys(self, of: DataFrame | None = None) -> DataFrame:
+        """SHARD columns and patch_key of the current vectors, without reading a vector.
+
+        With ``of`` only from the partitions its SHARD columns name.  Vectors written
+        before the store recorded their width are not seen and may be encoded again.
+        """
+        raw = self._raw().select("patch_key", "dim", "batch", "cleared", *SHARD)
+        if of is not None:
+            shards = cut_lineage(of.select(*SHARD).distinct())
+            raw = raw.join(F.broadcast(shards) if is_small(shards) else shards, SHARD, "left_semi")
+        return self._live(raw, F.col("dim")).select(*SHARD, "patch_key").distinct()
+
+    def _live(self, raw: DataFrame, width) -> DataFrame:
         gone = raw.filter("cleared").groupBy(*SHARD).agg(F.max("batch").alias("__gone"))
-        live = raw.filter(~F.col("cleared") & (F.size("vec") == self.dim)).join(gone, SHARD, "left").filter(
+        return raw.filter(~F.col("cleared") & (width == self.dim)).join(gone, SHARD, "left").filter(
             F.col("__gone").isNull() | (F.col("batch") > F.col("__gone")))
-        return live.groupBy(*SHARD, "patch_key").agg(F.max_by("vec", "batch").alias("vec"))
 
     def append(self, rows: DataFrame, batch: int | None = None) -> None:
         """Add vectors (SHARD columns, patch_key, vec); a wrong width is refused."""
@@ -54,7 +70,7 @@ class EmbeddingStore:
 
     def _write(self, rows: DataFrame, batch: int | None) -> None:
         b = batch if batch is not None else time.time_ns()
-        rows.withColumn("batch", F.lit(b)).select("patch_key", "vec", "batch", "cleared", *SHARD).write.mode(
+        rows.withColumns({"batch": F.lit(b), "dim": F.size("vec")}).select("patch_key", "vec", "dim", "batch", "cleared", *SHARD).write.mode(
             "append").partitionBy(*SHARD).parquet(self.path)
 
     def bytes(self) -> DataFrame:

@@ -186,7 +186,7 @@ def test_streamed_shards_wait_for_the_whole_run(spark, tmp_path):
         spark.readStream.schema(schema).parquet(src), jobs.shard_headers, str(tmp_path / "st"), out, str(tmp_path / "cp")).awaitTermination()
     part("r", 2).write.mode("append").parquet(src)
     run()
-    assert spark.read.parquet(out).count() == 0
+    assert jobs.read_runs(spark, out).count() == 0
     part("r", 1).write.mode("append").parquet(src)
     part("r", 2).write.mode("append").parquet(src)
     run()
@@ -195,6 +195,47 @@ def test_streamed_shards_wait_for_the_whole_run(spark, tmp_path):
     assert [(r["patch_id"], r["v"]) for r in spark.read.parquet(out).orderBy("patch_id").collect()] == [(0, 10.0), (1, 11.0), (2, 20.0), (3, 21.0)]
 
 
+def test_a_repeated_batch_after_a_half_written_one_gives_each_run_once(spark, tmp_path):
+    schema = "run string, shard int, of int, row bigint, n_rows bigint, v double"
+    st, out = str(tmp_path / "st"), str(tmp_path / "out")
+    shard = lambda run, s: [(run, s, 2, i, 2, float(10 * s + i)) for i in range(2)]
+    batch = lambda rows: spark.createDataFrame(rows, schema)
+    rows = lambda: sorted((r["run"], r["patch_id"], r["v"]) for r in jobs.read_runs(spark, out).collect())
+    whole = lambda run: [(run, 0, 10.0), (run, 1, 11.0), (run, 2, 20.0), (run, 3, 21.0)]
+    jobs.merge_batch(batch(shard("007", 1) + shard("007", 2)), 0, jobs.shard_headers, st, out)
+    assert rows() == whole("007")  # a run's name stays text
+    # Batch 1 staged its rows twice and wrote half of its runs, none of them closed.
+    again = batch(shard("007", 2) + shard("b", 1) + shard("b", 2) + shard("c", 1))
+    again.withColumn("batch", F.lit(1)).write.mode("append").partitionBy("run").parquet(st)
+    spark.createDataFrame([(10.0, 0, 1, "b"), (99.0, 9, 1, "b")], "v double, patch_id bigint, batch int, run string").write.mode(
+        "append").partitionBy("run").parquet(out)
+    assert rows() == whole("007")
+    jobs.merge_batch(again, 1, jobs.shard_headers, st, out)
+    assert rows() == whole("007") + whole("b")
+    # Written and closed, but not yet marked as done by the stream: repeated once more.
+    jobs.merge_batch(again, 1, jobs.shard_headers, st, out)
+    jobs.merge_batch(batch(shard("c", 2)), 2, jobs.shard_headers, st, out)
+    assert rows() == whole("007") + whole("b") + whole("c")
+    closed = spark.read.parquet(f"{out}-closed").orderBy("run").collect()
+    assert [(r["run"], r["rows"], r["batch"]) for r in closed] == [("007", 4, 0), ("b", 4, 1), ("c", 4, 2)]
+
+
+def test_keys_of_a_store_are_read_without_vectors(spark, tmp_path):
+    store = EmbeddingStore(spark, str(tmp_path / "emb"), 2)
+    rows = lambda slide, ks: spark.createDataFrame([(slide, "m", 0, 224, k, [1.0, 2.0]) for k in ks], SHARD_ROWS)
+    assert store.keys(rows("s", "a")).count() == 0
+    store.append(rows("s", "ab"), batch=1)
+    store.append(rows("t", "c"), batch=1)
+    EmbeddingStore(spark, store.path, 3).append(rows("s", "z").withColumn("vec", F.array(*[F.lit(1.0).cast("float")] * 3)), batch=2)
+    assert sorted(r["patch_key"] for r in store.keys().collect()) == ["a", "b", "c"]
+    some = store.keys(rows("s", "q"))
+    assert sorted(r["patch_key"] for r in some.collect()) == ["a", "b"]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "vec" not in plan and "dynamicpruning" in plan.lower()
+    store.clear(rows("s", "a"), batch=3)
+    assert [r["patch_key"] for r in store.keys().collect()] == ["c"]
+
+
 def test_streamed_edits_match_the_batch_replay(spark, tmp_path):
     schema = "slide string, id string, seq bigint, op string, after string"
     src = str(tmp_path / "in")

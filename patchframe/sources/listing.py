@@ -45,12 +45,13 @@ def resolve_slides(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         "entry_path", _join_path(F.col("dir"), F.col("stem")).alias("folder"))
     by_folder = folder.join(in_folders, "folder").select("entry_path", "path", "length", "folder")
 
-    # Prefix formats: exact join on every prefix of a path within a slide's folder.
+    # Prefix formats: a file meets the lengths of the prefixes in its folders, cut to those the prefixes.
     prefix = plain.filter(F.col("ext").isin(*PREFIX_FORMATS)).select(
-        "entry_path", _join_path(F.col("dir"), F.col("stem")).alias("prefix"))
-    sizes = prefix.select(F.length("prefix").alias("k")).distinct()
-    cut = f.select("path", "length", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("path")))).alias("k")).join(sizes, "k")
-    by_prefix = cut.withColumn("prefix", F.expr("left(path, k)")).join(prefix, "prefix").filter(
+        "entry_path", F.col("dir").alias("folder"), _join_path(F.col("dir"), F.col("stem")).alias("prefix"))
+    lengths = prefix.select("folder", F.length("prefix").alias("k")).distinct()
+    around = f.select("path", "length", F.explode(F.array_union(F.array(F.lit("")), ancestors)).alias("folder"))
+    cut = around.join(lengths, "folder").filter(F.length("path") >= F.col("k"))
+    by_prefix = cut.withColumn("prefix", F.expr("left(path, k)")).join(prefix, ["folder", "prefix"]).filter(
         F.col("path") != F.col("entry_path")).select("entry_path", "path", "length")
 
     own = plain.select("entry_path", F.col("entry_path").alias("path"), "length")

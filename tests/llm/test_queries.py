@@ -107,8 +107,9 @@ def test_op10_mixing(spark, docs):
     miss = lambda rate: np.linalg.norm([(rate * got.n_words * got["post_" + c]).sum() / total - w for c, w in zip(("junk", "prose", "toxic"), want)])
     post = got[["post_junk", "post_prose", "post_toxic"]].to_numpy()
     best = plain_rates(got.n_words.to_numpy(float), post, want, 0.0)
-    # These few labels put the targets out of reach; the rounds end near the nearest totals.
+    # These few labels put the targets out of reach; the rounds end near the nearest totals, and say how far they are.
     assert miss(got.rate) < miss(1.0) and miss(got.rate) <= 1.25 * miss(best) + 2e-3
+    assert (got.distance - miss(got.rate)).abs().max() < 1e-9 and got.nearest.max() <= miss(best) + 1e-9
 
 
 def test_pipeline_stage_by_stage(spark, docs, plain, tmp_path):

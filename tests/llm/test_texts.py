@@ -311,6 +311,22 @@ def test_rates_are_the_plain_descent_s(spark, goal, least):
     want = plain_rates(size.astype(float), post, np.array(goal), least)
     miss = lambda r: ((post.T @ (w * r) - goal) ** 2).sum()
     assert got.min() >= least and miss(got) <= miss(want) + 1e-6
+    # What is left is told, and what no rates can better.
+    rows = mixing.fit_rates(df, ["a", "b"], goal, least).collect()
+    assert abs(rows[0].distance - miss(got) ** 0.5) < 1e-9 and rows[0].nearest <= miss(want) ** 0.5 + 1e-9
+    none = mixing.fit_rates(df.withColumn("size", F.lit(0)), ["a", "b"], goal, least).collect()
+    assert {(r.rate, r.distance, r.nearest) for r in none} == {(1.0, None, None)}
+
+
+def test_classes_of_unseen_rows(spark):
+    """Posteriors of rows that no label speaks of name the right class."""
+    rng = random.Random(8)
+    words = {"warm": ["red", "rose", "rust", "coal"], "cold": ["sea", "sky", "blue", "ice"]}
+    common = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(common + 3 * words["warm" if i % 3 else "cold"], k=rng.randint(5, 40)))) for i in range(600)]
+    L = spark.createDataFrame([(i, "warm" if i % 3 else "cold") for i in range(300)], "id long, class_id string")
+    got = mixing.mix_to_targets(names(spark, rows), L, {"warm": 1, "cold": 1}).where("id >= 300").collect()
+    assert sum((r.post_warm > 0.5) == bool(r.id % 3) for r in got) >= 0.95 * len(got)
 
 
 def test_mixing_meets_targets(spark):

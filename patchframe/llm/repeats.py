@@ -483,6 +483,8 @@ def remove_repeats(annotations: DataFrame, length: int = 50, id: str = "id", tex
     """
     if length < 4:
         raise ValueError("repeats: a length of at least 4 bytes is needed")
+    if length - gram_size(length) + 1 > 255:  # windows an anchor can have; entries hold their number in a byte
+        raise ValueError(f"repeats: strings of {length} bytes have more windows to an anchor than entries can hold; up to 382 and 384 to 510 work")
     keep = keep or []
     A = annotations.select(
         F.col(id).cast("long").alias("id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])

@@ -115,6 +115,14 @@ def test_repeats_keep_characters_whole(spark):
     assert repeats.remove_repeats(names(spark, [])).count() == 0
 
 
+def test_repeats_refuse_lengths_that_would_wrap(spark):
+    fits = [n for n in range(4, 600) if n - repeats.gram_size(n) + 1 <= 255]
+    assert fits == [*range(4, 383), *range(384, 511)]
+    for length in (3, 383, 600):
+        with pytest.raises(ValueError):
+            repeats.remove_repeats(names(spark, [(1, "a")]), length)
+
+
 # --- similar texts ------------------------------------------------------------------------
 
 def plain_links(rows, n, threshold):
